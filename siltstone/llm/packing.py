@@ -107,7 +107,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     spark = docs.sparkSession
     tasks = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = found.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    fill = partial(_pack, capacity=capacity, linear=linear, quadratic=quadratic)
+
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        return _pack(group, capacity, linear, quadratic)
+
     return dealt.repartition(tasks, "pack_group").groupBy("pack_group").applyInPandas(fill, PACKED)
 
 
