@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing",)
+MODULES = ("packing", "sharding", "language")
 
 
 def queries() -> dict:
