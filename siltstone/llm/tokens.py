@@ -34,7 +34,7 @@ def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.n
     return flat[at + np.arange(len(at))], ends
 
 
-def _bounds(lists: pa.ListArray, ends: np.ndarray) -> np.ndarray:
+def bounds_of(lists: pa.ListArray, ends: np.ndarray) -> np.ndarray:
     at = lists.offsets.to_numpy(zero_copy_only=False)
     return np.concatenate([[0], ends])[at - at[0]]
 
@@ -69,7 +69,7 @@ class ChunkEncoder:
         each = [word(w) if (b := get(w)) is None else b for w in codes.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
         flat, ends = gather(np.frombuffer(b"".join(each), "<u4"), sizes, codes.indices.to_numpy(zero_copy_only=False))
-        bounds = _bounds(parts, ends)
+        bounds = bounds_of(parts, ends)
         size = np.diff(bounds)
         odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         if len(odd):
@@ -84,7 +84,7 @@ class ChunkEncoder:
         codes = chunks.values.dictionary_encode()
         flat, sizes = self._distinct(codes.dictionary)
         flat, ends = gather(flat, sizes, codes.indices.to_numpy(zero_copy_only=False))
-        return flat, _bounds(chunks, ends)
+        return flat, bounds_of(chunks, ends)
 
 
 def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.Array]]:
