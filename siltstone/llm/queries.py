@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "sharding", "language", "sentencepiece_codec", "neighbours", "simhash", "toxicity")
+MODULES = ("packing", "sharding", "language", "sentencepiece_codec", "neighbours", "simhash", "toxicity", "quality")
 
 
 def queries() -> dict:
