@@ -24,7 +24,7 @@ BITS, BUDGET, WORDS, SEED = 64, 3, 3, 42
 #: Fingerprints of a bucket that one task takes; larger buckets are parted.
 BUCKET = 50_000
 #: Node pairs that are taken down together.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 16
 _SHINGLES = 1 << 16
 
 
@@ -60,55 +60,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(_fingerprints, schema)
 
 
-def trie_links(values: np.ndarray, bucket: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket whose values differ in at most `budget` of the low `bits` bits.
+def _connect(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """`label` (for each row the least row of its group) once the groups of `left` and `right` are one, pair by pair."""
+    left, right = label[left], label[right]
+    while (apart := left != right).any():
+        left, right = left[apart], right[apart]
+        step = np.arange(len(label))
+        np.minimum.at(step, np.maximum(left, right), np.minimum(left, right))
+        while not np.array_equal(further := step[step], step):
+            step = further
+        label, left, right = step[label], step[left], step[right]
+    return label
 
-    Rows must be sorted by bucket and value, and a bucket's values be distinct. A node is a range of rows."""
+
+def trie_groups(values: np.ndarray, bucket: np.ndarray, bits: int, budget: int) -> np.ndarray:
+    """For each row the least row that links within its bucket lead to.
+
+    Rows must be sorted by bucket and value, and a bucket's values be distinct; two are linked if at most `budget` of
+    their low `bits` bits differ. A node of the trie is a range of rows. A pair of nodes ends where its rows are linked
+    whatever their remaining bits, or where all of them are in one group already."""
     edge = np.flatnonzero(np.diff(bucket)) + 1
     low, high = np.concatenate([[0], edge]), np.concatenate([edge, [len(values)]])
     some = high - low > 1
     low, high = low[some], high[some]
     ones = [np.concatenate([[0], np.cumsum((values >> np.uint64(b)) & np.uint64(1))]).astype(np.int64) for b in range(bits)]
+    label = np.arange(len(values))
+    group = label.copy()  # two rows hold the same number if no border between groups is between them
     todo = [(bits, low, high, low, high, np.zeros(len(low), np.int8))]
-    left, right = [], []
     while todo:
-        bit, al, ah, bl, bh, errors = todo.pop()
+        bit, *pairs = todo.pop()
+        al, ah, bl, bh, errors = pairs
         if len(al) > _PAIRS:
             half = len(al) // 2
-            todo += [(bit, *(x[:half] for x in (al, ah, bl, bh, errors))), (bit, *(x[half:] for x in (al, ah, bl, bh, errors)))]
+            todo += [(bit, *(x[:half] for x in pairs)), (bit, *(x[half:] for x in pairs))]
             continue
-        if not bit:
-            left.append(al)
-            right.append(bl)
+        rest = (label[al] != label[bl]) | (group[al] != group[ah - 1]) | (group[bl] != group[bh - 1])
+        near = rest & (errors + bit <= budget)
+        if near.any():
+            chain = np.zeros(len(values) + 1, np.int64)
+            for lo, hi in ((al, ah), (bl, bh)):
+                np.add.at(chain, lo[near], 1)
+                np.add.at(chain, hi[near] - 1, -1)
+            inner = np.flatnonzero(np.cumsum(chain)[:-1] > 0)
+            label = _connect(label, np.concatenate([al[near], inner]), np.concatenate([bl[near], inner + 1]))
+            group = np.cumsum(np.concatenate([[0], label[1:] != label[:-1]]))
+        rest &= ~near
+        if not rest.any():
             continue
+        al, ah, bl, bh, errors = (x[rest] for x in pairs)
         bit -= 1
         am, bm = ah - (ones[bit][ah] - ones[bit][al]), bh - (ones[bit][bh] - ones[bit][bl])
         same = al == bl  # ranges at one depth are equal or apart
+        alone = same & (ah - al == 1)
         found = []
-        for a, b, more, mask in (((al, am), (bl, bm), 0, None), ((am, ah), (bm, bh), 0, None), ((al, am), (bm, bh), 1, None), ((am, ah), (bl, bm), 1, ~same)):
-            keep = (a[0] < a[1]) & (b[0] < b[1]) & (errors + more <= budget)
-            if mask is None and not more:
-                keep &= ~same | (a[1] - a[0] > 1)  # a leaf has no pair within itself
-            if mask is not None:
-                keep &= mask
-            found.append((*(x[keep] for x in (*a, *b)), errors[keep] + np.int8(more)))
+        for a0, a1, b0, b1, more, off in ((al, am, bl, bm, 0, alone), (am, ah, bm, bh, 0, alone), (al, am, bm, bh, 1, alone), (am, ah, bl, bm, 1, same)):
+            keep = (a0 < a1) & (b0 < b1) & (errors + more <= budget) & ~off
+            found.append((a0[keep], a1[keep], b0[keep], b1[keep], errors[keep] + np.int8(more)))
         todo.append((bit, *(np.concatenate(x) for x in zip(*found, strict=True))))
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
-
-
-def least_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each of `n` rows the least row that links lead to."""
-    label = np.arange(n)
-    while True:
-        now = label.copy()
-        np.minimum.at(now, left, label[right])
-        np.minimum.at(now, right, label[left])
-        np.minimum.at(now, label, now.copy())
-        now = now[now]
-        if np.array_equal(now, label):
-            return label
-        label = now
+    return label
 
 
 def _stars(batches: Iterator[pa.RecordBatch], bits: int, budget: int) -> Iterator[pa.RecordBatch]:
@@ -120,7 +129,7 @@ def _stars(batches: Iterator[pa.RecordBatch], bits: int, budget: int) -> Iterato
         bucket = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((value, bucket))
         value, own = value[order], own[order]
-        label = least_labels(len(value), *trie_links(value, bucket, bits, budget))
+        label = trie_groups(value, bucket, bits, budget)
         far = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(own[label[far]]), pa.array(own[far])], ["a", "b"])
 
