@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,26 @@ def text_or_empty(text: str = "text") -> Column:
 def doc_mod(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n, by which labelled rows are divided; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, written once as a table in the shared folder: smaller than a checkpoint where rows hold long texts."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of a key and a number or two is broadcast (some 50 bytes a row); beyond it, the join is salted.
+FEW_KEYS, SALTS = 100_000, 32
+
+
+def attach(rows: DataFrame, key: str, found: DataFrame, many: int, spread: Column) -> DataFrame:
+    """`rows` with the columns of `found`, which has one row for each value of its column `key`; `many` is its size.
+
+    Rows without a match get nulls. No key's rows need meet in one task: they are dealt out by `spread`, too."""
+    found = found.withColumnRenamed(key, "__key")
+    if many <= FEW_KEYS:
+        return rows.join(F.broadcast(found), F.col(key) == F.col("__key"), "left").drop("__key")
+    salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__at", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__salt")), "left").drop("__key", "__salt", "__at")

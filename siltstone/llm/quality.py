@@ -12,14 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD_GAP, cut, table, text_or_empty
+from siltstone.llm.common import WORD_GAP, attach, cut, table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: The share of a host's documents that may fail a rule, after shrinking.
 HOST_LIMIT = 0.5
-#: Hosts up to which their verdicts are broadcast (some 50 bytes each); beyond it, the join is salted.
-FEW_HOSTS, SALTS = 100_000, 32
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -92,16 +90,6 @@ def host_rates(measures: DataFrame, host: str = "source") -> tuple[DataFrame, in
     return by.withColumn("host_rate", (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight))), hosts
 
 
-def _with_rates(rows: DataFrame, rates: DataFrame, hosts: int, host: str, key: Column) -> DataFrame:
-    """`rows` with host_rate, null where the host is. No host's rows need meet in one task."""
-    rates = rates.select(F.col("host").alias("__host"), "host_rate")
-    if hosts <= FEW_HOSTS:
-        return rows.join(F.broadcast(rates), F.col(host) == F.col("__host"), "left").drop("__host")
-    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, (F.col(host) == F.col("__host")) & (F.col("__at") == F.col("__salt")), "left").drop("__host", "__salt", "__at")
-
-
 def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """For each row of `docs` its doc_id, host, MEASURES, base_failed, host_rate and kept.
 
@@ -109,7 +97,7 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     kept and each count. An empty table gives no rows; other columns are ignored."""
     found = cut(measured(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text"))
     rates, hosts = host_rates(found, "host")
-    rated = _with_rates(found, rates, hosts, "host", F.col("doc_id"))
+    rated = attach(found, "host", rates.select("host", "host_rate"), hosts, F.col("doc_id"))
     return rated.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= limit))
 
 
@@ -118,7 +106,7 @@ def keep(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> Da
     rates, hosts = host_rates(cut(measured(docs.select(F.col(host).alias("host"), "text")).drop("text")), "host")
     columns = [F.col(f"r.`{c}`") for c in docs.columns]
     rows = measured(docs.select(F.struct("*").alias("r"), F.col("doc_id").alias("__id"), F.col(host).alias("__source"), "text")).where("not base_failed")
-    return _with_rates(rows, rates, hosts, "__source", F.col("__id")).where(F.coalesce("host_rate", F.lit(0.0)) <= limit).select(*columns)
+    return attach(rows, "__source", rates.select("host", "host_rate").withColumnRenamed("host", "__source"), hosts, F.col("__id")).where(F.coalesce("host_rate", F.lit(0.0)) <= limit).select(*columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
