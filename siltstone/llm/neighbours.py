@@ -82,7 +82,7 @@ def tile(queries: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarra
 
 def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """The `k` best candidates of a stripe for each query of a block, of equal scores those of the least first id."""
-    out = {"q": [], "h": [], "v": [], "ids": [], "score": []}
+    out = {"q": [], "h": [], "v": [], "ids": pd.Series([], dtype=object), "score": []}
     if len(left) and len(right):
         right = right.sort_values("v", ignore_index=True)
         q, v, score = tile(np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64), k)
@@ -130,8 +130,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
     queries = asked.dropDuplicates(["q", "h"]).select("q", "h", "vector", "dim")
     n_v, n_q = distinct.count(), queries.count()
     stripes, blocks = max(1, -(-n_v // stripe)), max(1, -(-n_q // block))
-    left = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    right = distinct.withColumn("s", F.pmod(F.xxhash64(F.lit(1), "v"), F.lit(stripes))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    right = distinct.withColumn("s", F.pmod(F.xxhash64(F.lit(1), "v"), F.lit(stripes)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _search(a, b, k + 1)
