@@ -46,26 +46,31 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) <= window, 0).otherwise(let(hashes, of_hashes))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with MEASURES and base_failed, in place of columns of these names; a null text counts as empty."""
+def measures(text: str = "text") -> Column:
+    """A struct of MEASURES and base_failed. It is one expression that binds the words once: as columns of their own
+    they would be split anew for each use when a filter on the measures is pushed below them."""
     held = text_or_empty(text)
     lines = F.filter(F.split(held, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    docs = docs.drop("__words")
-    docs = docs.withColumn("__words", F.array_remove(F.split(held, WORD_GAP), ""))
-    words = F.col("__words")
-    return (
-        docs.withColumns(
-            {
-                "n_words": F.size(words).cast("long"),
-                "word_chars": F.length(F.array_join(words, "")).cast("long"),
-                "n_symbols": (F.length(held) - F.length(F.translate(held, SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-                "n_repeat_words": repeat_words(words).cast("long"),
-            }
+
+    def of_words(words: Column) -> Column:
+        return let(
+            F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                (F.length(held) - F.length(F.translate(held, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                repeat_words(words).cast("long").alias("n_repeat_words"),
+            ),
+            lambda m: F.struct(*[m[k].alias(k) for k in MEASURES], ((m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])).alias("base_failed")),
         )
-        .drop("__words")
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    )
+
+    return let(F.array_remove(F.split(held, WORD_GAP), ""), of_words)
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with MEASURES and base_failed, in place of columns of these names; a null text counts as empty."""
+    rest = [c for c in docs.columns if c not in (*MEASURES, "base_failed")]
+    return docs.select(*[F.col(f"`{c}`") for c in rest], measures(text).alias("__m")).select(*[F.col(f"`{c}`") for c in rest], "__m.*")
 
 
 def rule_failed() -> Column:
@@ -105,7 +110,7 @@ def keep(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> Da
     """The rows of `docs`, with its columns, that `judge` keeps."""
     rates, hosts = host_rates(cut(measured(docs.select(F.col(host).alias("host"), "text")).drop("text")), "host")
     columns = [F.col(f"r.`{c}`") for c in docs.columns]
-    rows = measured(docs.select(F.struct("*").alias("r"), F.col("doc_id").alias("__id"), F.col(host).alias("__source"), "text")).where("not base_failed")
+    rows = docs.select(F.struct("*").alias("r"), F.col("doc_id").alias("__id"), F.col(host).alias("__source"), "text").where(~measures()["base_failed"])
     return attach(rows, "__source", rates.select("host", "host_rate").withColumnRenamed("host", "__source"), hosts, F.col("__id")).where(F.coalesce("host_rate", F.lit(0.0)) <= limit).select(*columns)
 
 

@@ -199,6 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     return Model(lexicon, boosted, calibration)
 
 
+def keep(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with its columns, whose score is below `limit`."""
+    return model.score(docs.select(F.struct("*").alias("row"), "text")).where(F.col("score") < limit).select("row.*")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = doc_mod("doc_id", 5) == 0
