@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("search_plans", "rollup_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,5 +18,6 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for name in MODULES for k, v in import_module(f"siltstone.plans.{name}").ORACLE_SQL.items()}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranked search with facets, a stable order and a page."""
+    return queries()["sco16_job_search"](spark, sf_dir)
