@@ -216,13 +216,13 @@ def keep_one(docs: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> Dat
     else one of each text stays."""
     found = cut(classes(docs, budget, bucket))
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash")
-    single = chosen.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n")).where("doc_id is not null")
+    single = chosen.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("__n")).where("doc_id is not null")
     nameless = chosen.where("doc_id is null").distinct()
     columns = docs.columns
     rows = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
-    named = rows.join(single.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), "n"), (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")))
-    once = named.where("n = 1").select(*columns)
-    again = named.where("n > 1").dropDuplicates(["doc_id"]).select(*columns)
+    named = rows.join(single.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), "__n"), (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")))
+    once = named.where("__n = 1").select(*columns)
+    again = named.where("__n > 1").dropDuplicates(["doc_id"]).select(*columns)
     rest = rows.where("doc_id is null").join(nameless.select(F.col("text_hash").alias("__of")), F.col("__hash") == F.col("__of"), "left_semi").dropDuplicates(["__hash"])
     return once.unionAll(again).unionAll(rest.select(*columns))
 

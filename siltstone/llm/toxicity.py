@@ -164,13 +164,16 @@ class Model:
     constant: float = 0.0
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """The columns of `docs` without `text`, and `score` from 0 to 1."""
-        kept = [c for c in docs.columns if c != "text"]
+        """The columns of `docs` without `text`, and `score` from 0 to 1 in place of a column of that name.
+
+        A null text counts as empty. Rows that repeat are all scored, alike; an empty table gives no rows."""
+        kept = [c for c in docs.columns if c not in ("text", "score")]
         if self.trees is None:
             return docs.select(*kept, F.lit(float(self.constant)).alias("score"))
+        held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "text")  # names of their columns can't clash
         raw = vector_to_array("rawPrediction")[1].alias("margin")
-        done = self.calibration.transform(self.trees.transform(with_features(docs, self.lexicon)).select(*kept, raw))
-        return done.select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+        done = self.calibration.transform(self.trees.transform(with_features(held, self.lexicon)).select("__row", raw))
+        return done.select(*[F.col("__row")[c].alias(c) for c in kept], F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
