@@ -75,8 +75,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def rule_failed() -> Column:
     """Whether a measured document counts against its host: a base rule, many symbols, repeated lines or odd words."""
-    mean = F.col("word_chars") / F.col("n_words")
-    return F.col("base_failed") | (10 * F.col("n_symbols") > F.col("n_words")) | (F.col("n_dup_lines") > 5) | (mean < 2) | (mean > 20)
+    words, chars = F.col("n_words"), F.col("word_chars")
+    return F.col("base_failed") | (10 * F.col("n_symbols") > words) | (F.col("n_dup_lines") > 5) | (chars < 2 * words) | (chars > 20 * words)
 
 
 def host_rates(measures: DataFrame, host: str = "source") -> tuple[DataFrame, int]:
