@@ -95,7 +95,7 @@ def strata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence(spark: SparkSession, sf: str) -> DataFrame:
-    counts = read(spark, sf, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["P", "O", "F"]).agg(F.count("*"))
+    counts = read(spark, sf, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["P", "O", "F"]).agg(F.count(F.lit(1)))
     part = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}")))
     return counts.select("o_custkey", F.concat_ws(", ", part("P", "waiting"), part("O", "in progress"), part("F", "closed")).alias("sentence"))
 
