@@ -1,5 +1,6 @@
 """A local Spark session for all tests."""
 
+import os
 import sys
 from pathlib import Path
 
@@ -8,7 +9,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TINY = "/root/testdata/sf0.001"
+TINY = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
