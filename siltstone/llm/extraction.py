@@ -1,18 +1,23 @@
 """Main text of web pages, with boilerplate found by a suffix array over the pages of a host.
 
-A page is cut into blocks. Markup decides on most: what is in an article is kept, what is in menus, footers, forms,
-adverts or comments goes. The text of all blocks outside articles is the page's token stream. For each host the streams of its pages
-are put one after the other and their suffixes sorted; runs of `LEAST` tokens or more that begin suffixes of several
-distinct pages are boilerplate. Blocks that markup leaves open go if boilerplate covers most of them; unique runs stay.
+A page is cut into blocks, and the text of all its blocks is its token stream. For each host the suffixes of the distinct streams
+are sorted; what lies in a run of `LEAST` tokens or more that `PAGES` distinct streams hold is boilerplate and is cut out,
+token by token; unique runs stay. (A run is made of windows of `LEAST` tokens that stand in at least the same
+streams, so these windows cover just what the longest runs cover, and suffixes need be sorted by `LEAST` tokens only.)
 
-Hosts with many pages are dealt into groups of about `GROUP_PAGES` pages, so a task's memory doesn't grow with a host.
+Markup is evidence beside the runs: what is in menus, footers, forms, adverts or comments goes even where it is unique; in an
+article, runs that would take more than `COVER` of it are those of a copied article, not boilerplate, and it stays whole.
+
+Hosts with many streams are dealt into groups of about `GROUP_PAGES`, so a task's memory doesn't grow with a host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,10 +28,12 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import attach, cut, table, written
 
 GROUP_PAGES = 2_000
-#: Tokens of a run, distinct pages that must hold it, and the share of a block that goes with what covers it.
+#: Tokens of a run, distinct pages that must hold it, and the share of an article from which repeated runs are a copy of it.
 LEAST, PAGES, COVER = 5, 3, 0.5
 KEEP, OPEN, DROP = 0, 1, 2
-PARSED = "key long, page_id long, url string, host string, kept array<struct<i int, t string>>, outside array<struct<i int, s int, t string>>"
+#: `stream` tells the token streams apart, `body` is the blocks, packed.
+PARSED = "page_id long, url string, host string, stream long, body binary"
+STREAM = "host string, stream long, body binary"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|$))"
@@ -107,17 +114,43 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return found
 
 
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _packed(found: list[tuple[int, str]]) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(f"{s}{t}" for s, t in found).encode("utf-8"))
+
+
+def _unpacked(body: bytes) -> list[tuple[int, list[str]]]:
+    import zstandard
+
+    lines = zstandard.ZstdDecompressor().decompress(body).decode("utf-8")
+    return [(int(line[0]), line[1:].split()) for line in lines.split("\n")] if lines else []
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.struct([("i", pa.int32()), ("t", pa.string())])
-    other = pa.struct([("i", pa.int32()), ("s", pa.int32()), ("t", pa.string())])
     for batch in batches:
-        kept, outside = [], []
+        streams, bodies = [], []
         for page in batch.column("html").to_pylist():
             found = blocks(page)
-            kept.append([{"i": i, "t": t} for i, (s, t) in enumerate(found) if s == KEEP])
-            outside.append([{"i": i, "s": s, "t": t} for i, (s, t) in enumerate(found) if s != KEEP])
-        rest = [batch.column(n) for n in ("key", "page_id", "url", "host")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.list_(block)), pa.array(outside, pa.list_(other))], ["key", "page_id", "url", "host", "kept", "outside"])
+            streams.append(_number(" ".join(t for _, t in found)))
+            bodies.append(_packed(found))
+        rest = [batch.column(n) for n in ("page_id", "url", "host")]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(streams, pa.int64()), pa.array(bodies, pa.binary())], ["page_id", "url", "host", "stream", "body"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each stream of a host in this task: copies of a page don't travel."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        first = []
+        for pair in zip(batch.column("host").to_pylist(), batch.column("stream").to_pylist(), strict=True):
+            first.append(pair not in seen)
+            seen.add(pair)
+        yield batch.filter(pa.array(first, pa.bool_()))
 
 
 def suffix_order(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,71 +171,133 @@ def suffix_order(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
+@dataclass
+class Streams:
+    """The pages of a group as one row of tokens: `tokens` by number, `owner` the page (the first of those of one
+    stream), `spans` the begin and end of each block of a page. No run reaches over the end of a page."""
+
+    words: list[str]
+    tokens: np.ndarray
+    owner: np.ndarray
+    spans: list[list[tuple[int, int]]]
+
+    @classmethod
+    def of(cls, pages: list[list[list[str]]]) -> Streams:
+        ids: dict[str, int] = {}
+        flat: list[int] = []
+        owner: list[int] = []
+        seen: dict[tuple[str, ...], int] = {}
+        spans: list[list[tuple[int, int]]] = []
+        for p, page in enumerate(pages):
+            same = seen.setdefault(tuple(t for block in page for t in block), p)
+            own = []
+            for block in page:
+                begin = len(flat)
+                flat += [ids.setdefault(t, len(ids)) for t in block]
+                own.append((begin, len(flat)))
+                owner += [same] * len(block)
+            flat.append(-1 - p)
+            owner.append(same)
+            spans.append(own)
+        return cls(list(ids), np.array(flat, np.int64), np.array(owner, np.int64), spans)
+
+    def windows(self, least: int) -> np.ndarray:
+        """Whether a window of `least` tokens begins at each place."""
+        ends = np.flatnonzero(self.tokens < 0)
+        at = np.arange(len(self.tokens))
+        return at + least <= ends[np.searchsorted(ends, at)]
+
+    def counted(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the class of its window, and for each class the distinct streams that hold it."""
+        order, rank = suffix_order(self.tokens, least)
+        pairs = np.unique(np.column_stack([rank[order], self.owner[order]]), axis=0)
+        return rank, np.bincount(pairs[:, 0], minlength=rank.max() + 1)
+
+    def inside(self, starts: np.ndarray, least: int) -> np.ndarray:
+        """Whether one of the windows that begin at `starts` covers each token."""
+        change = np.zeros(len(self.tokens) + least + 1, np.int64)
+        change[: len(self.tokens)] += starts
+        change[least : len(self.tokens) + least] -= starts
+        return np.cumsum(change)[: len(self.tokens)] > 0
+
+    def cuts(self, starts: np.ndarray, least: int) -> list[list[int]]:
+        """For each page the begins and ends, in turn, of what the windows cover, counted from its first token."""
+        found, first = [], 0
+        inside = self.inside(starts, least)
+        for end in np.flatnonzero(self.tokens < 0):
+            found.append(np.flatnonzero(np.diff(np.concatenate([[False], inside[first:end], [False]]))).tolist())
+            first = end + 1
+        return found
+
+
+def needed(streams: int, pages: int) -> int:
+    """The distinct streams that must hold a run on a host that has `streams`."""
+    return pages
+
+
 def covered(streams: list[list[list[str]]], least: int = LEAST, pages: int = PAGES) -> list[np.ndarray]:
     """For each page, given as blocks of tokens, the share of each block that boilerplate covers.
 
     Pages of the same stream count as one page, so that copies of a page are no evidence."""
-    ids: dict[str, int] = {}
-    flat: list[int] = []
-    page_of: list[int] = []
-    seen: dict[tuple[str, ...], int] = {}
-    begins: list[list[tuple[int, int]]] = []
-    for p, page in enumerate(streams):
-        same = seen.setdefault(tuple(t for block in page for t in block), p)
-        spans = []
-        for block in page:
-            begin = len(flat)
-            flat += [ids.setdefault(t, len(ids)) for t in block]
-            page_of += [same] * len(block)
-            spans.append((begin, len(flat)))
-        flat.append(-1 - p)  # no run reaches over the end of a page
-        page_of.append(same)
-        begins.append(spans)
-    tokens, owner = np.array(flat, np.int64), np.array(page_of, np.int64)
-    order, rank = suffix_order(tokens, least)
-    pairs = np.unique(np.column_stack([rank[order], owner[order]]), axis=0)
-    classes, count = np.unique(pairs[:, 0], return_counts=True)
-    often = np.zeros(rank.max() + 1, bool)
-    often[classes[count >= pages]] = True
-    starts = often[rank]
-    ends = np.flatnonzero(tokens < 0)
-    starts &= np.arange(len(tokens)) + least <= ends[np.searchsorted(ends, np.arange(len(tokens)))]
-    change = np.zeros(len(tokens) + least + 1, np.int64)
-    np.add.at(change, np.flatnonzero(starts), 1)
-    np.add.at(change, np.flatnonzero(starts) + least, -1)
-    inside = np.concatenate([[0], np.cumsum(np.cumsum(change)[: len(tokens)] > 0)])
-    return [np.array([(inside[b] - inside[a]) / max(1, b - a) for a, b in spans]) for spans in begins]
-
-
-def _judge(pages: pd.DataFrame, least: int, least_pages: int, cover: float) -> pd.DataFrame:
-    pages = pages.sort_values("key", kind="stable")
-    streams = [[str(b["t"]).split() for b in page] for page in pages["outside"]]
-    shares = covered(streams, least, least_pages)
-    drop = [[int(b["i"]) for b, share in zip(page, own, strict=True) if b["s"] == DROP or share >= cover] for page, own in zip(pages["outside"], shares, strict=True)]
-    return pd.DataFrame({"key": pages["key"].to_numpy(), "drop": pd.Series(drop, dtype=object)})
+    flat = Streams.of(streams)
+    rank, count = flat.counted(least)
+    starts = (count[rank] >= needed(len(set(flat.owner.tolist())), pages)) & flat.windows(least)
+    inside = np.concatenate([[0], np.cumsum(flat.inside(starts, least))])
+    return [np.array([(inside[b] - inside[a]) / max(1, b - a) for a, b in spans]) for spans in flat.spans]
+
+
+def _streams(group: pd.DataFrame) -> tuple[pd.DataFrame, Streams]:
+    group = group.drop_duplicates("stream").sort_values("stream", kind="stable")
+    return group, Streams.of([[t for _, t in _unpacked(body)] for body in group["body"]])
+
+
+def _uncovered(blocks: list[tuple[int, list[str]]], cuts: list[int], cover: float) -> str:
+    """The text of a page without what is cut and what markup drops, a block to a line."""
+    lost = np.zeros(sum(len(t) for _, t in blocks) + 1, np.int64)
+    np.add.at(lost, cuts[0::2], 1)
+    np.add.at(lost, cuts[1::2], -1)
+    gone = np.split(np.cumsum(lost)[:-1] > 0, np.cumsum([len(t) for _, t in blocks])[:-1]) if blocks else []
+    main = [g for (s, _), g in zip(blocks, gone, strict=True) if s == KEEP]
+    copy = bool(main) and np.concatenate(main).mean() > cover
+    lines = []
+    for (s, tokens), g in zip(blocks, gone, strict=True):
+        if s != DROP and (left := tokens if s == KEEP and copy else [t for t, x in zip(tokens, g, strict=True) if not x]):
+            lines.append(" ".join(left))
+    return "\n".join(lines)
 
 
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, least: int = LEAST, least_pages: int = PAGES, cover: float = COVER) -> DataFrame:
-    """For each row of `pages` its page_id, url and text: the kept blocks in page order, one to a line.
+    """For each row of `pages` its page_id, url and text: what stays of the blocks in page order, one to a line.
 
     A null or empty html gives an empty text; a null url is a host of its own. Rows that repeat are all kept; an
     empty table gives no rows; other columns are ignored. White space in a block becomes single spaces, and
     character references are decoded."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     parsed = written(rows.mapInArrow(_parse, PARSED))
-    by_host = cut(parsed.where(F.size("outside") > 0).groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")))
-    streams = parsed.where(F.size("outside") > 0).select("key", "host", "outside").dropDuplicates(["key"])
-    dealt = attach(streams, "host", by_host, by_host.count(), F.col("key")).withColumn("group", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("groups")))
+    by_host = cut(parsed.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("streams")).withColumn("groups", F.ceil(F.col("streams") / group_pages)).where("streams > 1"))
+    many = by_host.count()
+    once = parsed.select("host", "stream", "body").mapInArrow(_once, STREAM)
+    dealt = attach(once, "host", by_host, many, F.col("stream")).where("groups is not null").withColumn("group", F.pmod(F.xxhash64(F.lit(3), "stream"), F.col("groups")))
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        return _judge(group, least, least_pages, cover)
-
-    dropped = dealt.select("key", "host", "group", "outside").groupBy("host", "group").applyInPandas(judge, "key long, drop array<int>")
-    stay = F.filter("outside", lambda b: ~F.array_contains("drop", b["i"]))
-    text = F.array_join(F.transform(F.sort_array(F.concat("kept", F.transform(stay, lambda b: F.struct(b["i"].alias("i"), b["t"].alias("t"))))), lambda b: b["t"]), "\n")
-    judged = parsed.join(dropped, "key", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
-    return judged.select("page_id", "url", text.alias("text"))
+        streams = int(group["streams"].iloc[0])
+        host = group["host"].iloc[0]
+        group, flat = _streams(group)
+        rank, count = flat.counted(least)
+        starts = (count[rank] >= needed(streams, least_pages)) & flat.windows(least)
+        found = [(s, c) for s, c in zip(group["stream"], flat.cuts(starts, least), strict=True) if c]
+        return pd.DataFrame({"host": host, "stream": pd.Series([s for s, _ in found], dtype="int64"), "cuts": pd.Series([c for _, c in found], dtype=object)})
+
+    kind = "host string, stream long, cuts array<int>"
+    cuts = dealt.groupBy("host", "group").applyInPandas(judge, kind)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_uncovered(_unpacked(body), c or [], cover) for body, c in zip(batch.column("body").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return parsed.join(cuts, ["host", "stream"], "left").select("page_id", "url", "body", "cuts").mapInArrow(clean, "page_id long, url string, text string")
 
 
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,16 @@ def test_query_returns_every_page(spark, tiny):
     assert {r.page_id: r.url for r in rows} == pages
     assert all(r.n_chars == len(r.text) and "  " not in r.text and "<p" not in r.text for r in rows)
     assert sum(r.n_chars > 0 for r in rows) > 0.9 * len(rows)
+
+
+def notice(n: int) -> str:
+    return " ".join(f"notice{i}" for i in range(n))
+
+
+def test_boilerplate_in_articles_goes_and_copied_articles_stay(spark):
+    """op8_extraction: runs decide in main markup, too."""
+    rows = [(i, f"https://a.example/{i}", page(f"<article><p>{story(i)}</p><p>{notice(12)}</p></article>")) for i in range(6)]
+    rows += [(10 + i, f"https://b.example/{i}", page(f"<article><p>{notice(60)} {story(i)[:20]}</p></article>")) for i in range(4)]
+    found = texts(spark, rows)
+    assert all(found[i] == story(i) for i in range(6))
+    assert all(found[10 + i] == f"{notice(60)} {story(i)[:20]}" for i in range(4))
