@@ -8,7 +8,8 @@ streams, so these windows cover just what the longest runs cover, and suffixes n
 Markup is evidence beside the runs: what is in menus, footers, forms, adverts or comments goes even where it is unique; in an
 article, runs that would take more than `COVER` of it are those of a copied article, not boilerplate, and it stays whole.
 
-Hosts with many streams are dealt into groups of about `GROUP_PAGES`, so a task's memory doesn't grow with a host.
+Hosts with many streams are dealt into groups of about `GROUP_PAGES`, so a task's memory doesn't grow with a host; the
+streams that hold a window are then summed over all groups of the host.
 """
 
 from __future__ import annotations
@@ -213,6 +214,15 @@ class Streams:
         pairs = np.unique(np.column_stack([rank[order], self.owner[order]]), axis=0)
         return rank, np.bincount(pairs[:, 0], minlength=rank.max() + 1)
 
+    def numbers(self, least: int) -> np.ndarray:
+        """For each place a number of 64 bits that tells its window from others, alike in all groups."""
+        words = np.array([_number(w) for w in self.words] or [0], np.int64).view(np.uint64)[np.maximum(self.tokens, 0)]
+        factors = np.random.default_rng(29).integers(0, 1 << 64, least, np.uint64) | np.uint64(1)
+        total = np.zeros(len(words), np.uint64)
+        for j in range(min(least, len(words))):
+            total[: len(words) - j] += words[j:] * factors[j]
+        return total.view(np.int64)
+
     def inside(self, starts: np.ndarray, least: int) -> np.ndarray:
         """Whether one of the windows that begin at `starts` covers each token."""
         change = np.zeros(len(self.tokens) + least + 1, np.int64)
@@ -289,8 +299,31 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, least: int = LEAST
         found = [(s, c) for s, c in zip(group["stream"], flat.cuts(starts, least), strict=True) if c]
         return pd.DataFrame({"host": host, "stream": pd.Series([s for s, _ in found], dtype="int64"), "cuts": pd.Series([c for _, c in found], dtype=object)})
 
+    def count_runs(group: pd.DataFrame) -> pd.DataFrame:
+        host, at, streams = group[["host", "group", "streams"]].iloc[0]
+        _, flat = _streams(group)
+        rank, count = flat.counted(least)
+        whole = np.flatnonzero(flat.windows(least))
+        kinds, first = np.unique(rank[whole], return_index=True)
+        return pd.DataFrame({"host": host, "group": int(at), "streams": int(streams), "run": flat.numbers(least)[whole[first]], "n": count[kinds]})
+
+    def judge_by(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(runs):
+            return pd.DataFrame({"host": pd.Series([], dtype=object), "stream": pd.Series([], dtype="int64"), "cuts": pd.Series([], dtype=object)})
+        host = group["host"].iloc[0]
+        group, flat = _streams(group)
+        starts = np.isin(flat.numbers(least), runs["run"].to_numpy()) & flat.windows(least)
+        found = [(s, c) for s, c in zip(group["stream"], flat.cuts(starts, least), strict=True) if c]
+        return pd.DataFrame({"host": host, "stream": pd.Series([s for s, _ in found], dtype="int64"), "cuts": pd.Series([c for _, c in found], dtype=object)})
+
     kind = "host string, stream long, cuts array<int>"
-    cuts = dealt.groupBy("host", "group").applyInPandas(judge, kind)
+    cuts = dealt.where("groups = 1").groupBy("host", "group").applyInPandas(judge, kind)
+    if by_host.where("groups > 1").limit(1).count():
+        large = dealt.where("groups > 1")
+        runs = large.groupBy("host", "group").applyInPandas(count_runs, "host string, group long, streams long, run long, n long")
+        enough = F.col("n") >= least_pages
+        often = runs.groupBy("host", "run").agg(F.sum("n").alias("n"), F.first("streams").alias("streams"), F.collect_list("group").alias("groups")).where(enough).select("host", F.explode("groups").alias("group"), "run")
+        cuts = cuts.unionByName(large.groupBy("host", "group").cogroup(often.groupBy("host", "group")).applyInPandas(judge_by, kind))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -70,3 +70,12 @@ def test_boilerplate_in_articles_goes_and_copied_articles_stay(spark):
     found = texts(spark, rows)
     assert all(found[i] == story(i) for i in range(6))
     assert all(found[10 + i] == f"{notice(60)} {story(i)[:20]}" for i in range(4))
+
+
+def test_runs_are_counted_over_all_groups_of_a_host(spark, tiny):
+    """op8_extraction: how a host is dealt into groups changes nothing."""
+    rows = [(i, f"https://a.example/{i}", f"<p>{story(i)}</p>" + (f"<p>{notice(12)}</p>" if i < 5 else "")) for i in range(40)]
+    assert texts(spark, rows, group_pages=3) == {i: story(i) for i in range(40)}
+    pages = table(spark, tiny, "pages")
+    whole, dealt = ({r.page_id: r.text for r in extraction.extract(pages, group_pages=n).collect()} for n in (1_000_000, 7))
+    assert whole == dealt
