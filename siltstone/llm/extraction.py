@@ -8,7 +8,7 @@ streams, so these windows cover just what the longest runs cover, and suffixes n
 Markup is evidence beside the runs: what is in menus, footers, forms, adverts or comments goes even where it is unique; in an
 article, runs that would take more than `COVER` of it are those of a copied article, not boilerplate, and it stays whole.
 
-Hosts with many streams are dealt into groups of about `GROUP_PAGES`, so a task's memory doesn't grow with a host; the
+Hosts with many pages are dealt into groups of about `GROUP_PAGES`, so a task's memory doesn't grow with a host; the
 streams that hold a window are then summed over all groups of the host.
 """
 
@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import attach, cut, table, written
+from siltstone.llm.common import attach, cut, table
 
 GROUP_PAGES = 2_000
-#: Tokens of a run, distinct pages that must hold it, and the share of an article from which repeated runs are a copy of it.
-LEAST, PAGES, COVER = 5, 3, 0.5
+#: Tokens of a run, distinct pages that must hold it (all, on a host of two), and the share of an article from which repeated runs are a copy of it.
+LEAST, PAGES, COVER = 10, 3, 0.5
 KEEP, OPEN, DROP = 0, 1, 2
-#: `stream` tells the token streams apart, `body` is the blocks, packed.
-PARSED = "page_id long, url string, host string, stream long, body binary"
-STREAM = "host string, stream long, body binary"
+#: A host's windows are summed in at most so many parts.
+PARTS = 1_000
+#: `stream` tells the token streams apart, `body` is the blocks, packed; `copies` are the pages of a stream that came in one batch.
+PARSED = "host string, groups long, stream long, body binary, copies array<struct<page_id:bigint,url:string>>"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|$))"
@@ -133,25 +134,34 @@ def _unpacked(body: bytes) -> list[tuple[int, list[str]]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    page = pa.struct([("page_id", pa.int64()), ("url", pa.string())])
+    names = ["host", "groups", "stream", "body", "copies"]
     for batch in batches:
-        streams, bodies = [], []
-        for page in batch.column("html").to_pylist():
-            found = blocks(page)
-            streams.append(_number(" ".join(t for _, t in found)))
-            bodies.append(_packed(found))
-        rest = [batch.column(n) for n in ("page_id", "url", "host")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(streams, pa.int64()), pa.array(bodies, pa.binary())], ["page_id", "url", "host", "stream", "body"])
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each stream of a host in this task: copies of a page don't travel."""
-    seen: set[tuple[str, int]] = set()
-    for batch in batches:
-        first = []
-        for pair in zip(batch.column("host").to_pylist(), batch.column("stream").to_pylist(), strict=True):
-            first.append(pair not in seen)
-            seen.add(pair)
-        yield batch.filter(pa.array(first, pa.bool_()))
+        seen: dict[tuple[str, bytes], list] = {}
+        for row in batch.to_pylist():
+            body = _packed(found := blocks(row["html"]))
+            own = seen.setdefault((row["host"], body), [row["host"], row["groups"], _number(" ".join(t for _, t in found)), body, []])
+            own[4].append({"page_id": row["page_id"], "url": row["url"]})
+        columns = list(zip(*seen.values(), strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(page)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _pack_runs(runs: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers and a small count of each: steps, byte by byte, compress best."""
+    import zstandard
+
+    steps = np.diff(runs, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + counts.astype("<u4").tobytes())
+
+
+def _unpack_runs(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = len(raw) // 12
+    steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64), raw[8 * n :].view("<u4").astype(np.int64)
 
 
 def suffix_order(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +174,11 @@ def suffix_order(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
         step = min(length, least - length)
         further = np.zeros_like(rank)
         further[:-step] = rank[step:]
-        order = np.lexsort((further, rank))
-        a, b = rank[order], further[order]
+        both = rank * (len(rank) + 1) + further
+        order = np.argsort(both)
+        both = both[order]
         rank = np.empty_like(rank)
-        rank[order] = np.concatenate([[1], 1 + np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+        rank[order] = np.concatenate([[1], 1 + np.cumsum(both[1:] != both[:-1])])
         length += step
     return order, rank
 
@@ -211,17 +222,18 @@ class Streams:
     def counted(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """For each place the class of its window, and for each class the distinct streams that hold it."""
         order, rank = suffix_order(self.tokens, least)
-        pairs = np.unique(np.column_stack([rank[order], self.owner[order]]), axis=0)
-        return rank, np.bincount(pairs[:, 0], minlength=rank.max() + 1)
+        pairs = np.sort(rank[order] * len(rank) + self.owner[order])
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        return rank, np.bincount(pairs // len(rank), minlength=rank.max() + 1)
 
     def numbers(self, least: int) -> np.ndarray:
-        """For each place a number of 64 bits that tells its window from others, alike in all groups."""
+        """For each place a number of 64 bits that tells its window from others, alike in all groups: it hardly ever is that of another."""
         words = np.array([_number(w) for w in self.words] or [0], np.int64).view(np.uint64)[np.maximum(self.tokens, 0)]
         factors = np.random.default_rng(29).integers(0, 1 << 64, least, np.uint64) | np.uint64(1)
         total = np.zeros(len(words), np.uint64)
         for j in range(min(least, len(words))):
             total[: len(words) - j] += words[j:] * factors[j]
-        return total.view(np.int64)
+        return total
 
     def inside(self, starts: np.ndarray, least: int) -> np.ndarray:
         """Whether one of the windows that begin at `starts` covers each token."""
@@ -242,7 +254,7 @@ class Streams:
 
 def needed(streams: int, pages: int) -> int:
     """The distinct streams that must hold a run on a host that has `streams`."""
-    return pages
+    return max(2, min(pages, streams))
 
 
 def covered(streams: list[list[list[str]]], least: int = LEAST, pages: int = PAGES) -> list[np.ndarray]:
@@ -256,9 +268,8 @@ def covered(streams: list[list[list[str]]], least: int = LEAST, pages: int = PAG
     return [np.array([(inside[b] - inside[a]) / max(1, b - a) for a, b in spans]) for spans in flat.spans]
 
 
-def _streams(group: pd.DataFrame) -> tuple[pd.DataFrame, Streams]:
-    group = group.drop_duplicates("stream").sort_values("stream", kind="stable")
-    return group, Streams.of([[t for _, t in _unpacked(body)] for body in group["body"]])
+def _streams(group: pd.DataFrame) -> Streams:
+    return Streams.of([[t for _, t in _unpacked(body)] for body in group["body"]])
 
 
 def _uncovered(blocks: list[tuple[int, list[str]]], cuts: list[int], cover: float) -> str:
@@ -284,53 +295,58 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, least: int = LEAST
     character references are decoded."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    parsed = written(rows.mapInArrow(_parse, PARSED))
-    by_host = cut(parsed.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("streams")).withColumn("groups", F.ceil(F.col("streams") / group_pages)).where("streams > 1"))
-    many = by_host.count()
-    once = parsed.select("host", "stream", "body").mapInArrow(_once, STREAM)
-    dealt = attach(once, "host", by_host, many, F.col("stream")).where("groups is not null").withColumn("group", F.pmod(F.xxhash64(F.lit(3), "stream"), F.col("groups")))
+    large_hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1"))
+    many = large_hosts.count()
+    rows = attach(rows, "host", large_hosts, many, F.col("page_id")).withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(_parse, PARSED).withColumn("group", F.pmod(F.xxhash64(F.lit(3), "stream"), F.col("groups"))).groupBy("host", "group")
+
+    def cleaned(group: pd.DataFrame, flat: Streams, starts: np.ndarray) -> pd.DataFrame:
+        texts = [_uncovered(_unpacked(body), c, cover) for body, c in zip(group["body"], flat.cuts(starts, least), strict=True)]
+        return pd.DataFrame({"copies": group["copies"].to_numpy(), "text": pd.Series(texts, dtype=object)})
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        streams = int(group["streams"].iloc[0])
-        host = group["host"].iloc[0]
-        group, flat = _streams(group)
+        flat = _streams(group)
         rank, count = flat.counted(least)
-        starts = (count[rank] >= needed(streams, least_pages)) & flat.windows(least)
-        found = [(s, c) for s, c in zip(group["stream"], flat.cuts(starts, least), strict=True) if c]
-        return pd.DataFrame({"host": host, "stream": pd.Series([s for s, _ in found], dtype="int64"), "cuts": pd.Series([c for _, c in found], dtype=object)})
+        return cleaned(group, flat, (count[rank] >= needed(len(np.unique(flat.owner)), least_pages)) & flat.windows(least))
 
     def count_runs(group: pd.DataFrame) -> pd.DataFrame:
-        host, at, streams = group[["host", "group", "streams"]].iloc[0]
-        _, flat = _streams(group)
+        flat = _streams(group)
         rank, count = flat.counted(least)
         whole = np.flatnonzero(flat.windows(least))
         kinds, first = np.unique(rank[whole], return_index=True)
-        return pd.DataFrame({"host": host, "group": int(at), "streams": int(streams), "run": flat.numbers(least)[whole[first]], "n": count[kinds]})
-
-    def judge_by(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        if not len(group) or not len(runs):
-            return pd.DataFrame({"host": pd.Series([], dtype=object), "stream": pd.Series([], dtype="int64"), "cuts": pd.Series([], dtype=object)})
-        host = group["host"].iloc[0]
-        group, flat = _streams(group)
-        starts = np.isin(flat.numbers(least), runs["run"].to_numpy()) & flat.windows(least)
-        found = [(s, c) for s, c in zip(group["stream"], flat.cuts(starts, least), strict=True) if c]
-        return pd.DataFrame({"host": host, "stream": pd.Series([s for s, _ in found], dtype="int64"), "cuts": pd.Series([c for _, c in found], dtype=object)})
-
-    kind = "host string, stream long, cuts array<int>"
-    cuts = dealt.where("groups = 1").groupBy("host", "group").applyInPandas(judge, kind)
-    if by_host.where("groups > 1").limit(1).count():
-        large = dealt.where("groups > 1")
-        runs = large.groupBy("host", "group").applyInPandas(count_runs, "host string, group long, streams long, run long, n long")
-        enough = F.col("n") >= least_pages
-        often = runs.groupBy("host", "run").agg(F.sum("n").alias("n"), F.first("streams").alias("streams"), F.collect_list("group").alias("groups")).where(enough).select("host", F.explode("groups").alias("group"), "run")
-        cuts = cuts.unionByName(large.groupBy("host", "group").cogroup(often.groupBy("host", "group")).applyInPandas(judge_by, kind))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_uncovered(_unpacked(body), c or [], cover) for body, c in zip(batch.column("body").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return parsed.join(cuts, ["host", "stream"], "left").select("page_id", "url", "body", "cuts").mapInArrow(clean, "page_id long, url string, text string")
+        runs, often = flat.numbers(least)[whole[first]], np.minimum(count[kinds], max(2, least_pages))
+        order = np.argsort(runs)
+        runs, often = runs[order], often[order]
+        parts = min(PARTS, int(group["groups"].iloc[0]))
+        part = (runs % np.uint64(parts)).astype(np.int64)
+        packed = [_pack_runs(runs[part == k], often[part == k]) for k in range(parts)]
+        return pd.DataFrame({"host": group["host"].iloc[0], "group": group["group"].iloc[0], "part": range(parts), "streams": len(np.unique(flat.owner)), "runs": packed})
+
+    def sum_runs(part: pd.DataFrame) -> pd.DataFrame:
+        own = [_unpack_runs(packed) for packed in part["runs"]]
+        runs, which = np.unique(np.concatenate([r for r, _ in own]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([n for _, n in own]), len(runs))
+        often = runs[total >= needed(int(part["streams"].sum()), least_pages)]
+        held = [r[np.isin(r, often)] for r, _ in own]
+        return pd.DataFrame({"host": part["host"], "group": part["group"], "runs": [_pack_runs(r, np.ones(len(r))) for r in held]})
+
+    def judge_by(group: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({"copies": [], "text": []})
+        flat = _streams(group)
+        runs = np.concatenate([np.zeros(0, np.uint64), *(_unpack_runs(packed)[0] for packed in often["runs"])])
+        return cleaned(group, flat, np.isin(flat.numbers(least), runs) & flat.windows(least))
+
+    kind = "copies array<struct<page_id:bigint,url:string>>, text string"
+    texts = dealt(rows.where("groups = 1")).applyInPandas(judge, kind)
+    if many:
+        large = dealt(rows.where("groups > 1"))
+        counted = large.applyInPandas(count_runs, "host string, group long, part long, streams long, runs binary")
+        often = counted.groupBy("host", "part").applyInPandas(sum_runs, "host string, group long, runs binary")
+        texts = texts.unionByName(large.cogroup(often.groupBy("host", "group")).applyInPandas(judge_by, kind))
+    return texts.select(F.explode("copies").alias("page"), "text").select("page.page_id", "page.url", "text")
 
 
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

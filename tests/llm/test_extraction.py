@@ -79,3 +79,12 @@ def test_runs_are_counted_over_all_groups_of_a_host(spark, tiny):
     pages = table(spark, tiny, "pages")
     whole, dealt = ({r.page_id: r.text for r in extraction.extract(pages, group_pages=n).collect()} for n in (1_000_000, 7))
     assert whole == dealt
+
+
+def test_repeated_tokens_go_and_the_rest_of_a_block_stays(spark):
+    """op8_extraction: neither a block nor a short phrase goes as a whole; two distinct streams are enough where a host has no more."""
+    rows = [(i, f"https://a.example/{i}", f"<p>{notice(20)} {story(i + 50)}</p><p>{notice(12)} {story(i)}</p><p>as a matter of fact {i}</p>") for i in range(5)]
+    rows += [(10 + i, f"https://b.example/{i}", f"<p>{notice(12)}</p><p>{story(i)}</p>") for i in range(2)]
+    found = texts(spark, rows)
+    assert all(found[i] == f"{story(i + 50)}\n{story(i)}\nas a matter of fact {i}" for i in range(5))
+    assert all(found[10 + i] == story(i) for i in range(2))
