@@ -153,6 +153,14 @@ def set_ops(spark: SparkSession, sf: str) -> DataFrame:
     return held.select("doc_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("missing"))
 
 
+def set_ops_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of the first half of a whole text against those of its second half."""
+    words, half = F.split(F.coalesce("text", F.lit("")), " "), F.floor(F.size("words") / 2).cast("int")
+    held = read(spark, sf, "documents").select("doc_id", words.alias("words"))
+    held = held.select("doc_id", F.array_distinct(F.slice("words", 1, half)).alias("a"), F.array_distinct(F.slice("words", half + 1, F.size("words") - half)).alias("b"))
+    return held.select("doc_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("missing"))
+
+
 def by_precedence(spark: SparkSession, sf: str) -> DataFrame:
     """The first source that has a key gives its value."""
     events = read(spark, sf, "events")
@@ -186,6 +194,7 @@ QUERIES = {
     "join10_ordered_lookup": ordered_lookup,
     "join17_domain_tenant": domains,
     "set01_set_operations": set_ops,
+    "set01_whole_texts": set_ops_whole,
     "set04_union_by_precedence": by_precedence,
 }
 ORACLE_SQL = {
@@ -222,6 +231,8 @@ ORACLE_SQL = {
       on split_part(mail, '@', 2) = claim or ends_with(split_part(mail, '@', 2), '.' || claim) group by 1""",
     "set01_set_operations": """select doc_id, len(list_intersect(a, b))::int as common, len(list_distinct(a || b))::int as either, (len(list_distinct(a)) - len(list_intersect(a, b)))::int as missing
       from (select doc_id, list_distinct(string_split(text, ' ')[1:12]) as a, list_distinct(string_split(text, ' ')[8:19]) as b from documents)""",
+    "set01_whole_texts": """select doc_id, len(list_intersect(a, b))::int as common, len(list_distinct(a || b))::int as either, (len(a) - len(list_intersect(a, b)))::int as missing
+      from (select doc_id, list_distinct(w[1:len(w) // 2]) as a, list_distinct(w[len(w) // 2 + 1:len(w)]) as b from (select doc_id, string_split(coalesce(text, ''), ' ') as w from documents))""",
     "set04_union_by_precedence": """select user_id, layer::int as layer, event_id from (select *, row_number() over (partition by user_id order by layer, event_id) as n
       from (select user_id, event_id, case event_type when 'purchase' then 1 when 'view' then 2 else 3 end as layer from events where event_type in ('purchase', 'view', 'click'))) where n = 1""",
 }
