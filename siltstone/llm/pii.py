@@ -25,6 +25,7 @@ KINDS = {
     "mail": r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+%-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[a-f]*\d)[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "upper_secret": r"(?<![A-Za-z0-9])(?=[A-F]*\d)[0-9A-F]{32,128}(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "iso": rf"(?<![\w.-]){_YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-]|\.\d)",
     "dmy": rf"(?<![\w./-]){_DAY}(?:\.{_MONTH}\.|/{_MONTH}/){_YEAR}(?![\w/-]|\.\d)",
@@ -190,11 +191,12 @@ def _access(m: Column, key: str) -> Column:
 
 def pseudonym(match: Column, key: str) -> Column:
     """What stands in for a match of KINDS; what fails its check stays."""
-    made = {"mail": _mail, "access": _access, "secret": lambda m, k: feistel_text(m, HEX, k, "secret"), "ip": _ip, "iso": _iso, "dmy": _dmy, "ssn": _ssn, "card": _card}
+    made = {"mail": _mail, "access": _access, "secret": lambda m, k: feistel_text(m, HEX, k, "secret"), "upper_secret": lambda m, k: feistel_text(m, HEX.upper(), k, "upper secret"), "ip": _ip, "iso": _iso, "dmy": _dmy, "ssn": _ssn, "card": _card}
     tests = {
         "mail": match.contains("@"),
         "access": match.rlike("^A[KS]IA"),
         "secret": match.rlike("^[0-9a-f]{32,}$"),
+        "upper_secret": match.rlike("^[0-9A-F]{32,}$"),
         "ip": match.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"),
         "iso": match.rlike(r"^\d{4}-\d\d-\d\d$"),
         "dmy": match.rlike(r"^\d{1,2}([./])\d{1,2}\1\d{4}$"),

@@ -83,3 +83,11 @@ def test_columns_rows_and_long_texts_stay(spark):
     text = out.where("doc_id is null").first().text
     assert len(text) == len(long) and text[:500_000] == long[:500_000] and text != long
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_upper_case_secrets_are_replaced_within_their_alphabet(spark):
+    """op6_pii, pipeline"""
+    was = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    one, again, near = replaced(spark, [f"key {was} end", f"{was}.", f"x{was}"])
+    assert re.fullmatch(r"key [0-9A-F]{40} end", one) and was not in one
+    assert again == f"{one[4:44]}." and near == f"x{was}"
