@@ -32,6 +32,8 @@ SAMPLE, LEXICON = 20_000, 1_000
 #: An entry is in at least so many toxic documents of its part, and its log odds are so many standard errors over zero.
 LEAST_DOCS, LEAST_Z = 3, 2.5
 STEMS = (4, 5, 6)
+#: The parts of a class's documents in turn: below 5 for the lexicon, below 8 for the trees, the others for calibration.
+DEAL = (5, 8, 0, 6, 1, 9, 2, 7, 3, 4)
 NEAR, WINDOW = 5, 50
 #: Words that address the reader, in the languages of the corpus.
 ADDRESS = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "tú", "ti", "usted", "ustedes", "vos"]
@@ -177,28 +179,39 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
-    """A model from a uniform sample of about `sample` labelled documents whose doc_id is `learnable`.
+    """A model from a sample of about `sample` labelled documents whose doc_id is `learnable`: all of a class up to half
+    of the sample, more where the other class has fewer. Parts are dealt by class, and calibration weighs classes as the labels do.
 
     Labels that are null or not 0 or 1 are left out; of several labels for a document the largest counts."""
     given = labels.where(learnable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    many = given.count()
+    many = {r[0]: r[1] for r in given.groupBy("toxic").count().collect()}
+    rates = {label: min(1.0, max(sample / 2, sample - many.get(1 - label, 0)) / n) for label, n in many.items()}
     at = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
-    few = given.where(at < int(min(1.0, sample / max(1, many)) * (1 << 30))).withColumn("part", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(10)))
+    bound = F.when(F.col("toxic") == 1, int(rates.get(1, 1.0) * (1 << 30))).otherwise(int(rates.get(0, 1.0) * (1 << 30)))
+    few = given.where(at < bound).withColumn("at", F.xxhash64(F.lit(13), "doc_id"))
+    schema = T.StructType([*few.drop("at").schema.fields, T.StructField("part", T.LongType())])
+    dealt, upto = [], {0: 0, 1: 0}
+    for r in sorted(few.collect(), key=lambda r: (r["at"], r["doc_id"])):
+        dealt.append((r["doc_id"], r["toxic"], DEAL[upto[r["toxic"]] % len(DEAL)]))
+        upto[r["toxic"]] += 1
+    few = docs.sparkSession.createDataFrame(dealt, schema)
     # The sample's labels are some 20,000 pairs of numbers, whatever the tables' sizes.
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic", "part")
     rows = cut(rows)
     lexicon = learn_lexicon(rows.where("part < 5"))
     seen = cut(with_features(rows.where("part >= 5"), lexicon))
     share = {tuple(r[:2]): r[2] for r in seen.groupBy((F.col("part") >= 8).alias("late"), "toxic").count().collect()}
-    if not all(share.get((late, label)) for late in (False, True) for label in (0, 1)):
-        known = sum(share.values())
-        return Model(lexicon, constant=sum(v for (_, label), v in share.items() if label) / known if known else 0.0)
+    if not (share.get((False, 0)) and share.get((False, 1))):
+        return Model(lexicon, constant=many.get(1, 0) / sum(many.values()) if many else 0.0)
+    whole = share.get((True, 0)) and share.get((True, 1))  # else a class has a single document
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=20, maxDepth=3, stepSize=0.3, seed=5)
     early = assembler.transform(seen.where("part < 8")).select("features", F.col("toxic").cast("double").alias("toxic")).coalesce(4)
     boosted = PipelineModel([assembler, trees.fit(early)])
-    late = boosted.transform(seen.where("part >= 8")).select(vector_to_array("rawPrediction")[1].alias("margin"), F.col("toxic").cast("double").alias("toxic"))
-    calibration = IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="score").fit(late.coalesce(1))
+    late = boosted.transform(seen.where("part >= 8") if whole else seen).select(
+        vector_to_array("rawPrediction")[1].alias("margin"), F.col("toxic").cast("double").alias("toxic"), F.when(F.col("toxic") == 1, 1 / rates[1]).otherwise(1 / rates[0]).alias("weight")
+    )
+    calibration = IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="score", weightCol="weight").fit(late.coalesce(1))
     return Model(lexicon, boosted, calibration)
 
 

@@ -52,3 +52,13 @@ def test_labels_of_one_class_or_none_give_a_constant(spark):
     for labels in (docs.selectExpr("doc_id", "0 as toxic"), docs.selectExpr("doc_id", "cast(null as int) as toxic")):
         model = toxicity.fit(docs, labels, doc_mod("doc_id", 5) != 0)
         assert {r.score for r in model.score(docs).collect()} == {0.0}
+
+
+def test_rare_labels_are_all_drawn_and_reach_every_part(spark):
+    """op3_toxicity, pipeline"""
+    docs = spark.createDataFrame([(i, "you rotten vile scum" if i % 400 == 0 else f"a calm and pleasant day {i}", "s", 1, "f") for i in range(4000)], SCHEMA)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 400 = 0 as int) as toxic")
+    model = toxicity.fit(docs, labels, doc_mod("doc_id", 5) != 9, sample=100)
+    assert model.trees is not None
+    scored = {r.doc_id: r.score for r in model.score(docs).collect()}
+    assert min(s for i, s in scored.items() if i % 400 == 0) > max(s for i, s in scored.items() if i % 400)
