@@ -1,15 +1,17 @@
 """Main text of web pages, with boilerplate found by a suffix array over the pages of a host.
 
-A page is cut into blocks, and the text of all its blocks is its token stream. For each host the suffixes of the distinct streams
-are sorted; what lies in a run of `LEAST` tokens or more that `PAGES` distinct streams hold is boilerplate and is cut out,
-token by token; unique runs stay. (A run is made of windows of `LEAST` tokens that stand in at least the same
-streams, so these windows cover just what the longest runs cover, and suffixes need be sorted by `LEAST` tokens only.)
+A page is cut into blocks, and the text of all its blocks is its token stream. What lies in a run of `LEAST` tokens or more
+that `PAGES` distinct streams of a host hold is boilerplate and is cut out, token by token; unique runs stay. (A run is made
+of windows of `LEAST` tokens that stand in at least the same streams, so these windows cover just what the longest runs
+cover, and suffixes need be sorted by their first `LEAST` tokens only.)
+
+The suffix array of a host is made in parts. Each task sorts the suffixes of its pages and hands on, for each distinct one,
+the number of its first tokens and its stream; a host's numbers are dealt into parts, so that neither a host nor a task
+grows with the input. In a part equal numbers are neighbours, their streams are counted, and each stream gets back the
+numbers that are repeated. Texts move once, to meet these; their pages are parsed anew rather than stored.
 
 Markup is evidence beside the runs: what is in menus, footers, forms, adverts or comments goes even where it is unique; in an
 article, runs that would take more than `COVER` of it are those of a copied article, not boilerplate, and it stays whole.
-
-Hosts with many pages are dealt into groups of about `GROUP_PAGES`, so a task's memory doesn't grow with a host; the
-streams that hold a window are then summed over all groups of the host.
 """
 
 from __future__ import annotations
@@ -27,91 +29,177 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import attach, cut, table
+from siltstone.llm.tokens import slices
 
-GROUP_PAGES = 2_000
+#: The html whose suffixes make one part of a host's array, on average; and the html that a task parses at a time.
+PART_BYTES, SLICE_BYTES = 32 << 20, 16 << 20
 #: Tokens of a run, distinct pages that must hold it (all, on a host of two), and the share of an article from which repeated runs are a copy of it.
 LEAST, PAGES, COVER = 10, 3, 0.5
-KEEP, OPEN, DROP = 0, 1, 2
-#: A host's windows are summed in at most so many parts.
-PARTS = 1_000
+KEEP, OPEN, DROP, NAMED = 0, 1, 2, 3
+#: Bits of a window's number on hosts of up to so many pages; each doubling takes one more, so that numbers meet by chance as rarely.
+BITS, BITS_PAGES = 40, 4096
+ENTRIES = "host string, part int, streams array<bigint>, entries binary"
 #: `stream` tells the token streams apart, `body` is the blocks, packed; `copies` are the pages of a stream that came in one batch.
-PARSED = "host string, groups long, stream long, body binary, copies array<struct<page_id:bigint,url:string>>"
+PARSED = "host string, bits int, stream bigint, body binary, copies array<struct<page_id:bigint,url:string>>"
+TEXTS = "copies array<struct<page_id:bigint,url:string>>, text string"
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|$))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|([^<]+|<)",
-    re.S | re.I,
-)
+#: A tag with its attributes, a value in quotes only after an equals sign. Nothing is tried twice, so time follows length.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\t\n\f\r />]*+)((?:[^>=]++|=[\t\n\f\r ]*+(?:\"[^\"]*+\"|'[^']*+'|[^\t\n\f\r >]*+))*+)>")
+_ATTRIBUTE = re.compile(r"([^\t\n\f\r =/]++)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\t\n\f\r ]*+)))?")
 _BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li dt dd tr td th thead tbody tfoot option".split())
-_CHROME = frozenset("nav footer aside form menu dialog button label fieldset search".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What these hold isn't markup; none of it is text of the page.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in "script style title textarea iframe xmp noembed noframes".split()}
+_CHROME = frozenset("nav footer aside form menu dialog button label fieldset search select datalist template".split())
 _MAIN = frozenset("article main".split())
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_DRAWN = frozenset("title desc metadata".split())
+#: An element that ends when one of the same row begins, unless a list or table (the last of its row) began in between.
+_SIBLINGS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)),
+    "tr": (("tr",), ("table",)), "tbody": (("tbody", "thead", "tfoot"), ("table",)), "thead": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
+}
+_CELLS = ("td", "th", "caption")
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 _CHROME_NAME = re.compile(
-    r"(?:^|[\s_\-\"'])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side-bar|widgets?|ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notice|notices|newsletter|subscribe|subscription|signup|sign-up|login|social|share|sharing|related|recommended|recommendations|comments?|comment-list|commentlist|disqus|respond|replies|popup|modal|search|searchbox|pagination|pager|toolbar|complementary|contentinfo|skip-link)(?:$|[\s_\-\"'])",
+    r"(?:^|[_\-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side-bar|widgets?|ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notice|notices|newsletter|subscribe|subscription|signup|sign-up|login|social|share|sharing|related|recommended|recommendations|comments?|comment-list|commentlist|disqus|respond|replies|popup|modal|search|searchbox|pagination|pager|toolbar|complementary|contentinfo|skip-link)(?:$|[_\-])",
     re.I,
 )
-_HEAD_NAME = re.compile(r"(?:^|[\s_\-\"'])(?:header|masthead|site-header|topbar)(?:$|[\s_\-\"'])", re.I)
-_MAIN_NAME = re.compile(r"(?:^|[\s_\-\"'])(?:article|article-body|articlebody|post-content|entry-content|main-content)(?:$|[\s_\-\"'])", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HEAD_NAME = re.compile(r"(?:^|[_\-])(?:header|masthead|site-header|topbar)(?:$|[_\-])", re.I)
+_MAIN_NAME = re.compile(r"(?:^|[_\-])(?:article|article-body|articlebody|post-content|entry-content|main-content)(?:$|[_\-])", re.I)
+#: Names of layouts, such as has-sidebar, which say what is elsewhere on the page.
+_LAYOUT = re.compile(r"^(?:has|with|no|without|is)-|-(?:with|has|no|without)-", re.I)
 
 
-def _kind(tag: str, attributes: str, inside: int) -> int:
-    """What an element makes of its content, `inside` being what its parent makes of it."""
-    if inside == DROP or tag in _CHROME:
+def _kind(tag: str, attributes: str, inside: int, drawing: bool) -> int:
+    """What an element makes of its content, `inside` being what its parent makes of it. What a name alone drops (NAMED)
+    may hold the page's main element; an article goes by a name only if that is the whole of it."""
+    if inside == DROP or tag in _CHROME or drawing and tag in _DRAWN:
         return DROP
-    names = " ".join(m.strip("\"'") for m in _NAMED.findall(attributes)) if attributes else ""
-    if attributes and _HIDDEN.search(attributes) or names and _CHROME_NAME.search(names):
+    given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+    if given and ("hidden" in given or "style" in given and re.search(r"display\s*+:\s*+none", given["style"], re.I)):
         return DROP
-    if inside != KEEP and (tag == "header" or names and _HEAD_NAME.search(names)):
+    if tag == "main":
+        return KEEP
+    if inside == NAMED:
+        return NAMED
+    names = [x for k in ("class", "id", "role", "aria-label") if k in given for x in given[k].split() if not _LAYOUT.search(x)]
+    if tag in ("html", "body"):
+        names = []
+    if any(m and (tag != "article" or m[0] == x) for x in names if (m := _CHROME_NAME.search(x))):
+        return NAMED
+    if inside != KEEP and tag == "header":
         return DROP
-    return KEEP if inside == KEEP or tag in _MAIN or names and _MAIN_NAME.search(names) else OPEN
+    if inside != KEEP and any(map(_HEAD_NAME.search, names)):
+        return NAMED
+    return KEEP if inside == KEEP or tag in _MAIN or any(map(_MAIN_NAME.search, names)) else OPEN
+
+
+class _Stack:
+    """The open elements, for each tag where they are, and where blocks are."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.kinds: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        self.outer: list[int] = []
+
+    def kind(self) -> int:
+        return self.kinds[-1] if self.kinds else OPEN
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, kind: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in _BLOCKS:
+            self.outer.append(len(self.tags))
+        self.tags.append(tag)
+        self.kinds.append(kind)
+
+    def close(self, place: int) -> None:
+        while len(self.tags) > place:
+            self.at[self.tags.pop()].pop()
+            self.kinds.pop()
+        while self.outer and self.outer[-1] >= place:
+            self.outer.pop()
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """The blocks of a page in order: KEEP, OPEN or DROP, and the text in single spaces. Empty blocks are left out."""
+    """The blocks of a page in order: KEEP, OPEN or DROP, and the text in single spaces. Empty blocks are left out.
+
+    Elements end where HTML lets their end tag be left out. A tag that never ends takes the rest of the page with it,
+    as in browsers; a quote that never ends is part of a value without quotes."""
     found: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
     held: list[str] = []
-    state = OPEN
+    stack = _Stack()
+    at, size = 0, len(page)
 
     def end() -> None:
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
-                found.append((state, text))
+                found.append((min(stack.kind(), DROP), text))
             held.clear()
 
-    for match in _TOKEN.finditer(page):
-        text = match[5]
-        if text is not None:
-            held.append(text)
+    def say(text: str) -> None:
+        held.append(entities.unescape(text) if "&" in text else text)
+
+    while at < size:
+        sign = page.find("<", at)
+        if sign < 0:
+            say(page[at:])
+            break
+        if sign > at:
+            say(page[at:sign])
+        match = _TAG.match(page, sign)
+        if match is None:
+            after = page[sign + 1 : sign + 3]
+            if after[:1].isascii() and after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha():
+                break
+            if after[:1] in ("!", "?", "/") and after:
+                mark = "-->" if page.startswith("<!--", sign) else ">"
+                close = page.find(mark, sign + 2)
+                at = close + len(mark) if close >= 0 else size
+            else:
+                held.append("<")
+                at = sign + 1
             continue
-        tag = match[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        block = tag in _BLOCKS
+        at = match.end()
+        tag = match[2].lower()
         if tag == "br":
             held.append(" ")
-        if block:
-            end()
-        if match[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+            continue
+        if match[1]:
+            place = stack.last(tag)
+            if tag in _BLOCKS:
+                end()
+            # What ends inside a block or a cell doesn't end what is around it.
+            inner = stack.last(*_CELLS) if tag in _BLOCKS else stack.outer[-1] if stack.outer else -1
+            if place >= 0 and (tag in _TABLE or place > inner):
+                if stack.kind() != (stack.kinds[place - 1] if place else OPEN):
                     end()
-                    del stack[k:]
-                    state = stack[-1][1] if stack else OPEN
-                    break
-        elif tag not in _VOID and not match[4].endswith("/"):
-            kind = _kind(tag, match[4], state)
-            if kind != state:
+                stack.close(place)
+            continue
+        empty = match[3].endswith("/")
+        if tag in _RAW and not (tag in _DRAWN and stack.last("svg") >= 0):
+            close = None if empty else _RAW[tag].search(page, at)
+            at = at if empty else close.start() if close else size
+            continue
+        if tag in _BLOCKS:
+            end()
+            if (place := stack.last("p")) > stack.last("button", "table", *_CELLS):
+                stack.close(place)
+            if tag in _SIBLINGS:
+                same, around = _SIBLINGS[tag]
+                if (place := stack.last(*same)) > stack.last(*around):
+                    stack.close(place)
+        if tag not in _VOID and not empty:
+            kind = _kind(tag, match[3], stack.kind(), stack.last("svg") >= 0)
+            if kind != stack.kind():
                 end()
-            if block or kind != state or kind == DROP:
-                stack.append((tag, kind))
-                state = kind
+            stack.push(tag, kind)
     end()
     return found
 
@@ -123,7 +211,7 @@ def _number(text: str) -> int:
 def _packed(found: list[tuple[int, str]]) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress("\n".join(f"{s}{t}" for s, t in found).encode("utf-8"))
+    return zstandard.ZstdCompressor(level=6).compress("\n".join(f"{s}{t}" for s, t in found).encode("utf-8"))
 
 
 def _unpacked(body: bytes) -> list[tuple[int, list[str]]]:
@@ -133,37 +221,6 @@ def _unpacked(body: bytes) -> list[tuple[int, list[str]]]:
     return [(int(line[0]), line[1:].split()) for line in lines.split("\n")] if lines else []
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    page = pa.struct([("page_id", pa.int64()), ("url", pa.string())])
-    names = ["host", "groups", "stream", "body", "copies"]
-    for batch in batches:
-        seen: dict[tuple[str, bytes], list] = {}
-        for row in batch.to_pylist():
-            body = _packed(found := blocks(row["html"]))
-            own = seen.setdefault((row["host"], body), [row["host"], row["groups"], _number(" ".join(t for _, t in found)), body, []])
-            own[4].append({"page_id": row["page_id"], "url": row["url"]})
-        columns = list(zip(*seen.values(), strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(page)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _pack_runs(runs: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers and a small count of each: steps, byte by byte, compress best."""
-    import zstandard
-
-    steps = np.diff(runs, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + counts.astype("<u4").tobytes())
-
-
-def _unpack_runs(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    n = len(raw) // 12
-    steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64), raw[8 * n :].view("<u4").astype(np.int64)
-
-
 def suffix_order(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of `tokens` sorted by their first `least` tokens, by doubling, and for each place its class:
     places of one class begin with the same `least` tokens (fewer at the end)."""
@@ -185,33 +242,24 @@ def suffix_order(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Streams:
-    """The pages of a group as one row of tokens: `tokens` by number, `owner` the page (the first of those of one
-    stream), `spans` the begin and end of each block of a page. No run reaches over the end of a page."""
+    """Token streams as one row of tokens: `tokens` by number, negative where a stream ends, `owner` the stream of each
+    place, and a number for each word. No window reaches over the end of a stream."""
 
-    words: list[str]
+    words: np.ndarray
     tokens: np.ndarray
     owner: np.ndarray
-    spans: list[list[tuple[int, int]]]
 
     @classmethod
-    def of(cls, pages: list[list[list[str]]]) -> Streams:
-        ids: dict[str, int] = {}
-        flat: list[int] = []
-        owner: list[int] = []
-        seen: dict[tuple[str, ...], int] = {}
-        spans: list[list[tuple[int, int]]] = []
-        for p, page in enumerate(pages):
-            same = seen.setdefault(tuple(t for block in page for t in block), p)
-            own = []
-            for block in page:
-                begin = len(flat)
-                flat += [ids.setdefault(t, len(ids)) for t in block]
-                own.append((begin, len(flat)))
-                owner += [same] * len(block)
-            flat.append(-1 - p)
-            owner.append(same)
-            spans.append(own)
-        return cls(list(ids), np.array(flat, np.int64), np.array(owner, np.int64), spans)
+    def of(cls, streams: list[list[str]]) -> Streams:
+        sizes = np.array([len(s) + 1 for s in streams], np.int64)
+        ends = np.cumsum(sizes) - 1
+        flat = np.empty(int(sizes.sum()), object)
+        if len(streams):
+            flat[:] = [t for s in streams for t in (*s, "")]
+        tokens, words = pd.factorize(flat)
+        tokens = tokens.astype(np.int64)
+        tokens[ends] = -1 - np.arange(len(streams))
+        return cls(pd.util.hash_array(words.astype(object), categorize=False) if len(words) else np.zeros(1, np.uint64), tokens, np.repeat(np.arange(len(streams)), sizes))
 
     def windows(self, least: int) -> np.ndarray:
         """Whether a window of `least` tokens begins at each place."""
@@ -219,21 +267,21 @@ class Streams:
         at = np.arange(len(self.tokens))
         return at + least <= ends[np.searchsorted(ends, at)]
 
-    def counted(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place the class of its window, and for each class the distinct streams that hold it."""
-        order, rank = suffix_order(self.tokens, least)
-        pairs = np.sort(rank[order] * len(rank) + self.owner[order])
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-        return rank, np.bincount(pairs // len(rank), minlength=rank.max() + 1)
-
-    def numbers(self, least: int) -> np.ndarray:
-        """For each place a number of 64 bits that tells its window from others, alike in all groups: it hardly ever is that of another."""
-        words = np.array([_number(w) for w in self.words] or [0], np.int64).view(np.uint64)[np.maximum(self.tokens, 0)]
+    def numbers(self, least: int, bits: int) -> np.ndarray:
+        """For each place the upper `bits` of a number of its window's words, which is the same wherever they stand."""
+        words = self.words[np.maximum(self.tokens, 0)]
         factors = np.random.default_rng(29).integers(0, 1 << 64, least, np.uint64) | np.uint64(1)
         total = np.zeros(len(words), np.uint64)
         for j in range(min(least, len(words))):
             total[: len(words) - j] += words[j:] * factors[j]
-        return total
+        return total >> np.uint64(64 - bits)
+
+    def entries(self, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of a window (its number) and a stream that holds it, from the sorted suffixes."""
+        order, rank = suffix_order(self.tokens, least)
+        order = order[self.windows(least)[order]]
+        _, first = np.unique(rank[order] * (len(rank) + 1) + self.owner[order], return_index=True)
+        return self.numbers(least, bits)[order[first]], self.owner[order[first]]
 
     def inside(self, starts: np.ndarray, least: int) -> np.ndarray:
         """Whether one of the windows that begin at `starts` covers each token."""
@@ -242,42 +290,104 @@ class Streams:
         change[least : len(self.tokens) + least] -= starts
         return np.cumsum(change)[: len(self.tokens)] > 0
 
-    def cuts(self, starts: np.ndarray, least: int) -> list[list[int]]:
-        """For each page the begins and ends, in turn, of what the windows cover, counted from its first token."""
-        found, first = [], 0
-        inside = self.inside(starts, least)
-        for end in np.flatnonzero(self.tokens < 0):
-            found.append(np.flatnonzero(np.diff(np.concatenate([[False], inside[first:end], [False]]))).tolist())
-            first = end + 1
-        return found
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def needed(streams: int, pages: int) -> int:
-    """The distinct streams that must hold a run on a host that has `streams`."""
-    return max(2, min(pages, streams))
 
+def _from_planes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def pack_entries(numbers: np.ndarray, owner: np.ndarray, streams: np.ndarray) -> bytes:
+    """Pairs of a window's number and a stream: steps between sorted numbers, byte by byte, compress best."""
+    import zstandard
+
+    used, owner = np.unique(owner, return_inverse=True)
+    order = np.lexsort((owner, numbers))
+    steps, owner = np.diff(numbers[order], prepend=np.uint64(0)), owner[order]
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8)), max(1, -(-len(used).bit_length() // 8))
+    head = np.array([len(steps), len(used), *width], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + streams[used].astype("<i8").tobytes() + _planes(steps, width[0]) + _planes(owner, width[1]))
+
+
+def unpack_entries(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of windows and the streams that hold them."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n, used, wide, narrow = raw[:16].view("<u4").tolist()
+    streams, rest = raw[16 : 16 + 8 * used].view("<i8"), raw[16 + 8 * used :]
+    return np.cumsum(_from_planes(rest[: n * wide], n, wide), dtype=np.uint64), streams[_from_planes(rest[n * wide :], n, narrow).astype(np.int64)]
 
-def covered(streams: list[list[list[str]]], least: int = LEAST, pages: int = PAGES) -> list[np.ndarray]:
-    """For each page, given as blocks of tokens, the share of each block that boilerplate covers.
 
-    Pages of the same stream count as one page, so that copies of a page are no evidence."""
-    flat = Streams.of(streams)
-    rank, count = flat.counted(least)
-    starts = (count[rank] >= needed(len(set(flat.owner.tolist())), pages)) & flat.windows(least)
-    inside = np.concatenate([[0], np.cumsum(flat.inside(starts, least))])
-    return [np.array([(inside[b] - inside[a]) / max(1, b - a) for a, b in spans]) for spans in flat.spans]
+def needed(streams: int, pages: int) -> int:
+    """The distinct streams that must hold a run on a host that has `streams`."""
+    return max(2, min(pages, streams))
 
 
-def _streams(group: pd.DataFrame) -> Streams:
-    return Streams.of([[t for _, t in _unpacked(body)] for body in group["body"]])
+def _sliced(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[list[dict]]:
+    for batch in batches:
+        for begin, texts in slices(batch.column("html"), slice_bytes):
+            yield batch.slice(begin, len(texts)).to_pylist()
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], least: int, pages: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    for rows in _sliced(batches, slice_bytes):
+        hosts: dict[str, tuple[int, int, dict[int, list[str]]]] = {}
+        for row in rows:
+            tokens = [t for _, text in blocks(row["html"]) for t in text.split()]
+            hosts.setdefault(row["host"], (row["parts"], row["bits"], {}))[2].setdefault(_number(" ".join(tokens)), tokens)
+        out = []
+        for host, (parts, bits, streams) in hosts.items():
+            ids = np.array(list(streams), np.int64)
+            numbers, owner = Streams.of(list(streams.values())).entries(least, bits)
+            part = (numbers % np.uint64(parts)).astype(np.int64)
+            some = np.sort(ids)[:pages].tolist()
+            for k in range(parts):
+                own = part == k if parts > 1 else slice(None)
+                out.append((host, k, some, pack_entries(numbers[own], owner[own], ids)))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "part", "streams", "entries"])
+
+
+def repeated(part: pa.Table, pages: int) -> pa.Table:
+    """For each stream the numbers of its windows that enough streams hold, among those of one part of a host."""
+    numbers, streams = (np.concatenate(x) for x in zip(*map(unpack_entries, part["entries"].to_pylist()), strict=True))
+    least = needed(len({x for some in part["streams"].to_pylist() for x in some}), pages)
+    order = np.lexsort((streams, numbers))
+    numbers, streams = numbers[order], streams[order]
+    once = np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (streams[1:] != streams[:-1])])[: len(numbers)]
+    numbers, streams = numbers[once], streams[once]
+    _, which, count = np.unique(numbers, return_inverse=True, return_counts=True)
+    often = count[which] >= least
+    numbers, streams = numbers[often], streams[often]
+    order = np.argsort(streams, kind="stable")
+    ids, first = np.unique(streams[order], return_index=True)
+    held = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), pa.array(numbers[order].view(np.int64)))
+    return pa.table({"host": pa.array([part["host"][0].as_py()] * len(ids), pa.string()), "stream": pa.array(ids, pa.int64()), "often": held})
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    page = pa.struct([("page_id", pa.int64()), ("url", pa.string())])
+    names = ["host", "bits", "stream", "body", "copies"]
+    for rows in _sliced(batches, slice_bytes):
+        seen: dict[tuple[str, bytes], list] = {}
+        for row in rows:
+            body = _packed(found := blocks(row["html"]))
+            own = seen.setdefault((row["host"], body), [row["host"], row["bits"], _number(" ".join(t for _, t in found)), body, []])
+            own[4].append({"page_id": row["page_id"], "url": row["url"]})
+        columns = list(zip(*seen.values(), strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(page)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _uncovered(blocks: list[tuple[int, list[str]]], cuts: list[int], cover: float) -> str:
-    """The text of a page without what is cut and what markup drops, a block to a line."""
-    lost = np.zeros(sum(len(t) for _, t in blocks) + 1, np.int64)
-    np.add.at(lost, cuts[0::2], 1)
-    np.add.at(lost, cuts[1::2], -1)
-    gone = np.split(np.cumsum(lost)[:-1] > 0, np.cumsum([len(t) for _, t in blocks])[:-1]) if blocks else []
+def uncovered(blocks: list[tuple[int, list[str]]], covered: np.ndarray, cover: float) -> str:
+    """The text of a page without the tokens that are covered and what markup drops, a block to a line."""
+    gone = np.split(covered, np.cumsum([len(t) for _, t in blocks])[:-1]) if blocks else []
     main = [g for (s, _), g in zip(blocks, gone, strict=True) if s == KEEP]
     copy = bool(main) and np.concatenate(main).mean() > cover
     lines = []
@@ -287,66 +397,58 @@ def _uncovered(blocks: list[tuple[int, list[str]]], cuts: list[int], cover: floa
     return "\n".join(lines)
 
 
-def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, least: int = LEAST, least_pages: int = PAGES, cover: float = COVER) -> DataFrame:
+def _texts(batches: Iterator[pa.RecordBatch], least: int, cover: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin, bodies in slices(batch.column("body"), 4 << 20):
+            pages = [_unpacked(b) for b in bodies.to_pylist()]
+            part = batch.slice(begin, len(pages))
+            bits, often = part.column("bits").to_pylist(), part.column("often").to_pylist()
+            flat = Streams.of([[t for _, tokens in page for t in tokens] for page in pages])
+            whole = flat.windows(least)
+            starts, place = np.zeros(len(whole), bool), 0
+            numbers = {b: flat.numbers(least, b) for b in set(bits)}
+            for k, page in enumerate(pages):
+                size = sum(len(t) for _, t in page)
+                if often[k]:
+                    at = slice(place, place + size)
+                    starts[at] = whole[at] & np.isin(numbers[bits[k]][at], np.array(often[k], np.int64).view(np.uint64))
+                place += size + 1
+            inside = np.split(flat.inside(starts, least), np.flatnonzero(flat.tokens < 0) + 1)[: len(pages)]
+            texts = [uncovered(page, covered[:-1], cover) for page, covered in zip(pages, inside, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("copies"), pa.array(texts, pa.string())], ["copies", "text"])
+
+
+def extract(pages: DataFrame, least: int = LEAST, least_pages: int = PAGES, cover: float = COVER, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """For each row of `pages` its page_id, url and text: what stays of the blocks in page order, one to a line.
 
-    A null or empty html gives an empty text; a null url is a host of its own. Rows that repeat are all kept; an
-    empty table gives no rows; other columns are ignored. White space in a block becomes single spaces, and
-    character references are decoded."""
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    A null or empty html gives an empty text; a null url is a host of its own. Pages of the same token stream count as
+    one, so that copies of a page are no evidence; rows that repeat are all kept. An empty table gives no rows; other
+    columns are ignored. How pages are dealt into parts and slices changes nothing."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*+://(?:[^/?#@]*+@)?([^/:?#]*+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    large_hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1"))
-    many = large_hosts.count()
-    rows = attach(rows, "host", large_hosts, many, F.col("page_id")).withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
-
-    def dealt(some: DataFrame) -> DataFrame:
-        return some.mapInArrow(_parse, PARSED).withColumn("group", F.pmod(F.xxhash64(F.lit(3), "stream"), F.col("groups"))).groupBy("host", "group")
-
-    def cleaned(group: pd.DataFrame, flat: Streams, starts: np.ndarray) -> pd.DataFrame:
-        texts = [_uncovered(_unpacked(body), c, cover) for body, c in zip(group["body"], flat.cuts(starts, least), strict=True)]
-        return pd.DataFrame({"copies": group["copies"].to_numpy(), "text": pd.Series(texts, dtype=object)})
-
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        flat = _streams(group)
-        rank, count = flat.counted(least)
-        return cleaned(group, flat, (count[rank] >= needed(len(np.unique(flat.owner)), least_pages)) & flat.windows(least))
-
-    def count_runs(group: pd.DataFrame) -> pd.DataFrame:
-        flat = _streams(group)
-        rank, count = flat.counted(least)
-        whole = np.flatnonzero(flat.windows(least))
-        kinds, first = np.unique(rank[whole], return_index=True)
-        runs, often = flat.numbers(least)[whole[first]], np.minimum(count[kinds], max(2, least_pages))
-        order = np.argsort(runs)
-        runs, often = runs[order], often[order]
-        parts = min(PARTS, int(group["groups"].iloc[0]))
-        part = (runs % np.uint64(parts)).astype(np.int64)
-        packed = [_pack_runs(runs[part == k], often[part == k]) for k in range(parts)]
-        return pd.DataFrame({"host": group["host"].iloc[0], "group": group["group"].iloc[0], "part": range(parts), "streams": len(np.unique(flat.owner)), "runs": packed})
-
-    def sum_runs(part: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack_runs(packed) for packed in part["runs"]]
-        runs, which = np.unique(np.concatenate([r for r, _ in own]), return_inverse=True)
-        total = np.bincount(which, np.concatenate([n for _, n in own]), len(runs))
-        often = runs[total >= needed(int(part["streams"].sum()), least_pages)]
-        held = [r[np.isin(r, often)] for r, _ in own]
-        return pd.DataFrame({"host": part["host"], "group": part["group"], "runs": [_pack_runs(r, np.ones(len(r))) for r in held]})
-
-    def judge_by(group: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return pd.DataFrame({"copies": [], "text": []})
-        flat = _streams(group)
-        runs = np.concatenate([np.zeros(0, np.uint64), *(_unpack_runs(packed)[0] for packed in often["runs"])])
-        return cleaned(group, flat, np.isin(flat.numbers(least), runs) & flat.windows(least))
-
-    kind = "copies array<struct<page_id:bigint,url:string>>, text string"
-    texts = dealt(rows.where("groups = 1")).applyInPandas(judge, kind)
-    if many:
-        large = dealt(rows.where("groups > 1"))
-        counted = large.applyInPandas(count_runs, "host string, group long, part long, streams long, runs binary")
-        often = counted.groupBy("host", "part").applyInPandas(sum_runs, "host string, group long, runs binary")
-        texts = texts.unionByName(large.cogroup(often.groupBy("host", "group")).applyInPandas(judge_by, kind))
-    return texts.select(F.explode("copies").alias("page"), "text").select("page.page_id", "page.url", "text")
+    parts, doublings = F.ceil(F.sum(F.octet_length("html")) / part_bytes).cast("int"), F.ceil(F.log2(F.count("*") / BITS_PAGES)).cast("int")
+    sizes = rows.groupBy("host").agg(parts.alias("parts"), F.least(F.lit(64), BITS + doublings).alias("bits"))
+    large = cut(sizes.where((F.col("parts") > 1) | (F.col("bits") > BITS)))
+    rows = attach(rows, "host", large, large.count(), F.col("page_id"))
+    rows = rows.withColumns({"parts": F.greatest(F.lit(1), F.coalesce("parts", F.lit(1))), "bits": F.greatest(F.lit(BITS), F.coalesce("bits", F.lit(BITS)))})
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _suffixes(batches, least, least_pages, slice_bytes)
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _bodies(batches, slice_bytes)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _texts(batches, least, cover)
+
+    def count(part: pa.Table) -> pa.Table:
+        return repeated(part, least_pages)
+
+    found = rows.select("host", "parts", "bits", "html").mapInArrow(suffixes, ENTRIES).groupBy("host", "part").applyInArrow(count, "host string, stream bigint, often array<bigint>")
+    often = found.groupBy("host", "stream").agg(F.flatten(F.collect_list("often")).alias("often"))
+    parsed = rows.select("page_id", "url", "host", "bits", "html").mapInArrow(bodies, PARSED)
+    done = parsed.join(often, ["host", "stream"], "left").select("bits", "body", "often", "copies").mapInArrow(texts, TEXTS)
+    return done.select(F.explode("copies").alias("page"), "text").select("page.page_id", "page.url", "text")
 
 
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,12 @@
+import time
+from collections import Counter
+
+import numpy as np
+
 from siltstone.llm import extraction
 from siltstone.llm.common import table
 from siltstone.llm.queries import queries
+from tests.llm import plain_extraction as plain
 
 SCHEMA = "page_id long, url string, html string, text string, host int"
 
@@ -32,14 +38,6 @@ def test_runs_that_pages_of_a_host_share_go_and_unique_runs_stay(spark):
     assert found[10] == "subscribe now to get our daily letter in your box"
 
 
-def test_shared_runs_are_those_of_all_windows():
-    """Runs may reach over the blocks of a page, but not over its end."""
-    streams = [[["a", "b", "c", "d", "e"], ["x", f"own {i}"]] for i in range(3)] + [[["a", "b", "c"]]]
-    shares = extraction.covered(streams, least=5, pages=3)
-    assert [s.tolist() for s in shares] == [[1.0, 0.5]] * 3 + [[0.0]]
-    assert [s.tolist() for s in extraction.covered(streams, least=5, pages=4)] == [[0.0, 0.0]] * 3 + [[0.0]]
-
-
 def test_nulls_repeats_broken_and_long_pages(spark):
     long = "<article>" + "<p>" + "word " * 50_000 + "</p></article>"
     rows = [(1, None, None), (2, "", ""), (3, "x", "<p>unclosed <b>text"), (3, "x", "<p>unclosed <b>text"), (4, "y", "a < b &lt; c"), (5, "z", long)]
@@ -72,13 +70,68 @@ def test_boilerplate_in_articles_goes_and_copied_articles_stay(spark):
     assert all(found[10 + i] == f"{notice(60)} {story(i)[:20]}" for i in range(4))
 
 
-def test_runs_are_counted_over_all_groups_of_a_host(spark, tiny):
-    """op8_extraction: how a host is dealt into groups changes nothing."""
+def by_rows(rows) -> Counter:
+    return Counter((r[0], r[1], r[2]) for r in rows)
+
+
+def test_query_gives_what_brute_force_gives(spark, tiny):
+    """op8_extraction: every page, whatever the parts of a host's suffix array and the slices of the pages."""
+    for folder in (tiny, "/root/testdata/sf0.01"):
+        pages = table(spark, folder, "pages")
+        expected = by_rows(plain.extracted([(r.page_id, r.url, r.html) for r in pages.collect()]))
+        assert by_rows((r.page_id, r.url, r.text) for r in queries()["op8_extraction"](spark, folder).collect()) == expected
+        assert by_rows(extraction.extract(pages.repartition(5), part_bytes=20_000, slice_bytes=30_000).collect()) == expected
+
+
+def test_runs_of_a_host_are_counted_over_all_its_parts(spark):
     rows = [(i, f"https://a.example/{i}", f"<p>{story(i)}</p>" + (f"<p>{notice(12)}</p>" if i < 5 else "")) for i in range(40)]
-    assert texts(spark, rows, group_pages=3) == {i: story(i) for i in range(40)}
-    pages = table(spark, tiny, "pages")
-    whole, dealt = ({r.page_id: r.text for r in extraction.extract(pages, group_pages=n).collect()} for n in (1_000_000, 7))
-    assert whole == dealt
+    rows += [(i, f"https://a.example/{i}", rows[i % 7][2]) for i in range(40, 60)]
+    rows += [(100 + i, "https://b.example/", f"<nav>{notice(15)}</nav><article><p>{story(i % 3)} {notice(15)}</p><p>{notice(9)}</p></article>") for i in range(9)]
+    for part, size in ((1 << 20, 1 << 20), (500, 700), (2_000, 1)):
+        assert texts(spark, rows, part_bytes=part, slice_bytes=size) == {i: t for i, _, t in plain.extracted(rows)}
+    found = texts(spark, rows)
+    assert all(found[i] == story(i) for i in range(40)) and all(found[i] == story(i % 7) for i in range(40, 60))
+
+
+def test_entries_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    for bits, n in ((40, 0), (40, 1), (64, 500), (40, 5000)):
+        numbers, owner = rng.integers(0, 1 << bits, n, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 300, n)
+        streams = rng.integers(-(1 << 62), 1 << 62, 300)
+        back = extraction.unpack_entries(extraction.pack_entries(numbers, owner, streams))
+        assert Counter(zip(*(x.tolist() for x in back), strict=True)) == Counter(zip(numbers.tolist(), streams[owner].tolist(), strict=True))
+
+
+def lines(html: str) -> list[str]:
+    return [t for kind, t in extraction.blocks(html) if kind != extraction.DROP]
+
+
+def test_markup_as_html_has_it():
+    """op8_extraction: end tags that may be left out, values without quotes, names of layouts, and what isn't dropped."""
+    assert lines("<html><head><title>T</title><body><article><p>Hello world</p></article></body></html>") == ["Hello world"]
+    assert lines("<p title=it's>Hello</p>") == ["Hello"] and lines("<p title='a>b' x=\"<i>\">Hello</p>") == ["Hello"]
+    assert lines('<article><p class="advert">Buy now<p>Text<ul><li>one<li class="sponsored">two<li>three</ul></article>') == ["Text", "one", "three"]
+    assert lines('<table><tr><td class="sidebar">side<td>cell<tr><td>next</table>after') == ["cell", "next", "after"]
+    assert lines('<dl><dt>term<dd class="ad">buy<dd>meaning</dl>') == ["term", "meaning"]
+    assert lines('<article class="post-notice"><p>Text</p></article>') == ["Text"] and lines('<article class="comment"><p>Text</p></article>') == []
+    assert lines('<body class="has-sidebar search-results"><div class="layout-with-sidebar"><p>Text</p></div></body>') == ["Text"]
+    assert lines('<div class="sidebar"><p>Side</p><main><p>Text</p></main></div>') == ["Text"]
+    assert lines("<article>a <math>x</math> <noscript>n</noscript> <object>o</object> b</article>") == ["a x n o b"]
+    assert lines('<span><div class="ad"></span>buy</div><p>Text</p>') == ["Text"]
+    assert lines("<p>&am<b>p;</b> &amp;lt; x<br>y &#x41;&nbsp;z</p>") == ["&amp; &lt; x y A z"]
+    assert lines("a <!-- x > y --> b <![CDATA[ z ]]> c </> d < e <3 f") == ["a b c d < e <3 f"]
+    assert lines("<svg><title>icon</title><text>drawn</text></svg><p>Text</p><textarea><p>typed</textarea>") == ["drawn", "Text"]
+    assert lines("Text <b") == ["Text"] and lines("Text <a href=\"x") == ["Text"] and lines("Text <b x=\"y>z</b>") == ["Text z"]
+
+
+def test_time_follows_length_on_broken_pages():
+    for part in ("<a b=\"c\" ", "<a b='", "<p title=\"", "<", "</", "<b>", "</i>", "<p><b>", "<div>", "<li><b>", "<!--", "<table><td>", "<script>", "a=", "<a  =", "&#", "<p hidden ", "<svg><title>"):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            extraction.blocks(part * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, part
 
 
 def test_repeated_tokens_go_and_the_rest_of_a_block_stays(spark):
