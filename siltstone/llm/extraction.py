@@ -5,10 +5,10 @@ that `PAGES` distinct streams of a host hold is boilerplate and is cut out, toke
 of windows of `LEAST` tokens that stand in at least the same streams, so these windows cover just what the longest runs
 cover, and suffixes need be sorted by their first `LEAST` tokens only.)
 
-The suffix array of a host is made in parts. Each task sorts the suffixes of its pages and hands on, for each distinct one,
-the number of its first tokens and its stream; a host's numbers are dealt into parts, so that neither a host nor a task
-grows with the input. In a part equal numbers are neighbours, their streams are counted, and each stream gets back the
-numbers that are repeated. Texts move once, to meet these; their pages are parsed anew rather than stored.
+Pages are dealt by their streams into groups of about `GROUP_BYTES` of html of a host. A group's streams are sorted by their
+suffixes. On hosts of several groups each group hands on, for each distinct beginning of a suffix, its number and how many
+streams hold it; a host's numbers are dealt into parts, summed there over all groups, and each group gets back its own numbers
+that are repeated. So the result is that of the host's whole suffix array, while neither a task nor what it sends grows with a host.
 
 Markup is evidence beside the runs: what is in menus, footers, forms, adverts or comments goes even where it is unique; in an
 article, runs that would take more than `COVER` of it are those of a copied article, not boilerplate, and it stays whole.
@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import attach, cut, table
 from siltstone.llm.tokens import slices
 
-#: The html whose suffixes make one part of a host's array, on average; and the html that a task parses at a time.
-PART_BYTES, SLICE_BYTES = 32 << 20, 16 << 20
+#: The html of a host that makes one group on average, and the groups whose numbers are summed in one part.
+GROUP_BYTES, PART_GROUPS = 4 << 20, 8
 #: Tokens of a run, distinct pages that must hold it (all, on a host of two), and the share of an article from which repeated runs are a copy of it.
 LEAST, PAGES, COVER = 10, 3, 0.5
 KEEP, OPEN, DROP, NAMED = 0, 1, 2, 3
 #: Bits of a window's number on hosts of up to so many pages; each doubling takes one more, so that numbers meet by chance as rarely.
 BITS, BITS_PAGES = 40, 4096
-ENTRIES = "host string, part int, streams array<bigint>, entries binary"
 #: `stream` tells the token streams apart, `body` is the blocks, packed; `copies` are the pages of a stream that came in one batch.
-PARSED = "host string, bits int, stream bigint, body binary, copies array<struct<page_id:bigint,url:string>>"
+PARSED = "host string, groups int, bits int, stream bigint, body binary, copies array<struct<page_id:bigint,url:string>>"
+COUNTED = "host string, group int, part int, streams bigint, runs binary"
 TEXTS = "copies array<struct<page_id:bigint,url:string>>, text string"
 
 #: A tag with its attributes, a value in quotes only after an equals sign. Nothing is tried twice, so time follows length.
@@ -109,7 +109,11 @@ class _Stack:
         return self.kinds[-1] if self.kinds else OPEN
 
     def last(self, *tags: str) -> int:
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        best = -1
+        for tag in tags:
+            if (places := self.at.get(tag)) and places[-1] > best:
+                best = places[-1]
+        return best
 
     def push(self, tag: str, kind: int) -> None:
         self.at.setdefault(tag, []).append(len(self.tags))
@@ -276,12 +280,11 @@ class Streams:
             total[: len(words) - j] += words[j:] * factors[j]
         return total >> np.uint64(64 - bits)
 
-    def entries(self, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct pairs of a window (its number) and a stream that holds it, from the sorted suffixes."""
+    def counted(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the class of its window, from the sorted suffixes, and for each class the streams that hold it."""
         order, rank = suffix_order(self.tokens, least)
-        order = order[self.windows(least)[order]]
-        _, first = np.unique(rank[order] * (len(rank) + 1) + self.owner[order], return_index=True)
-        return self.numbers(least, bits)[order[first]], self.owner[order[first]]
+        pairs = np.unique(rank[order] * len(rank) + self.owner[order])
+        return rank, np.bincount(pairs // len(rank), minlength=rank.max(initial=0) + 1)
 
     def inside(self, starts: np.ndarray, least: int) -> np.ndarray:
         """Whether one of the windows that begin at `starts` covers each token."""
@@ -291,36 +294,20 @@ class Streams:
         return np.cumsum(change)[: len(self.tokens)] > 0
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _from_planes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = raw.reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
-def pack_entries(numbers: np.ndarray, owner: np.ndarray, streams: np.ndarray) -> bytes:
-    """Pairs of a window's number and a stream: steps between sorted numbers, byte by byte, compress best."""
+def pack_runs(runs: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted numbers and a small count of each: steps, byte by byte, compress best."""
     import zstandard
 
-    used, owner = np.unique(owner, return_inverse=True)
-    order = np.lexsort((owner, numbers))
-    steps, owner = np.diff(numbers[order], prepend=np.uint64(0)), owner[order]
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8)), max(1, -(-len(used).bit_length() // 8))
-    head = np.array([len(steps), len(used), *width], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + streams[used].astype("<i8").tobytes() + _planes(steps, width[0]) + _planes(owner, width[1]))
+    steps = np.diff(runs, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + counts.astype(np.uint8).tobytes())
 
 
-def unpack_entries(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of windows and the streams that hold them."""
+def unpack_runs(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    n, used, wide, narrow = raw[:16].view("<u4").tolist()
-    streams, rest = raw[16 : 16 + 8 * used].view("<i8"), raw[16 + 8 * used :]
-    return np.cumsum(_from_planes(rest[: n * wide], n, wide), dtype=np.uint64), streams[_from_planes(rest[n * wide :], n, narrow).astype(np.int64)]
+    n = len(raw) // 9
+    return np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64), raw[8 * n :].astype(np.int64)
 
 
 def needed(streams: int, pages: int) -> int:
@@ -328,61 +315,89 @@ def needed(streams: int, pages: int) -> int:
     return max(2, min(pages, streams))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[list[dict]]:
-    for batch in batches:
-        for begin, texts in slices(batch.column("html"), slice_bytes):
-            yield batch.slice(begin, len(texts)).to_pylist()
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch], least: int, pages: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    for rows in _sliced(batches, slice_bytes):
-        hosts: dict[str, tuple[int, int, dict[int, list[str]]]] = {}
-        for row in rows:
-            tokens = [t for _, text in blocks(row["html"]) for t in text.split()]
-            hosts.setdefault(row["host"], (row["parts"], row["bits"], {}))[2].setdefault(_number(" ".join(tokens)), tokens)
-        out = []
-        for host, (parts, bits, streams) in hosts.items():
-            ids = np.array(list(streams), np.int64)
-            numbers, owner = Streams.of(list(streams.values())).entries(least, bits)
-            part = (numbers % np.uint64(parts)).astype(np.int64)
-            some = np.sort(ids)[:pages].tolist()
-            for k in range(parts):
-                own = part == k if parts > 1 else slice(None)
-                out.append((host, k, some, pack_entries(numbers[own], owner[own], ids)))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "part", "streams", "entries"])
-
-
-def repeated(part: pa.Table, pages: int) -> pa.Table:
-    """For each stream the numbers of its windows that enough streams hold, among those of one part of a host."""
-    numbers, streams = (np.concatenate(x) for x in zip(*map(unpack_entries, part["entries"].to_pylist()), strict=True))
-    least = needed(len({x for some in part["streams"].to_pylist() for x in some}), pages)
-    order = np.lexsort((streams, numbers))
-    numbers, streams = numbers[order], streams[order]
-    once = np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (streams[1:] != streams[:-1])])[: len(numbers)]
-    numbers, streams = numbers[once], streams[once]
-    _, which, count = np.unique(numbers, return_inverse=True, return_counts=True)
-    often = count[which] >= least
-    numbers, streams = numbers[often], streams[often]
-    order = np.argsort(streams, kind="stable")
-    ids, first = np.unique(streams[order], return_index=True)
-    held = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), pa.array(numbers[order].view(np.int64)))
-    return pa.table({"host": pa.array([part["host"][0].as_py()] * len(ids), pa.string()), "stream": pa.array(ids, pa.int64()), "often": held})
-
-
-def _bodies(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page = pa.struct([("page_id", pa.int64()), ("url", pa.string())])
-    names = ["host", "bits", "stream", "body", "copies"]
-    for rows in _sliced(batches, slice_bytes):
-        seen: dict[tuple[str, bytes], list] = {}
-        for row in rows:
-            body = _packed(found := blocks(row["html"]))
-            own = seen.setdefault((row["host"], body), [row["host"], row["bits"], _number(" ".join(t for _, t in found)), body, []])
-            own[4].append({"page_id": row["page_id"], "url": row["url"]})
-        columns = list(zip(*seen.values(), strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(page)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    names = ["host", "groups", "bits", "stream", "body", "copies"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(page)]
+    for batch in batches:
+        for begin, texts in slices(batch.column("html"), 16 << 20):
+            seen: dict[tuple[str, bytes], list] = {}
+            for row in batch.slice(begin, len(texts)).to_pylist():
+                body = _packed(found := blocks(row["html"]))
+                own = seen.setdefault((row["host"], body), [row["host"], row["groups"], row["bits"], _number(" ".join(t for _, t in found)), body, []])
+                own[5].append({"page_id": row["page_id"], "url": row["url"]})
+            columns = zip(*seen.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+class Group:
+    """The pages of a group: their blocks, and their distinct streams as one row of tokens."""
+
+    def __init__(self, rows: pa.Table, least: int) -> None:
+        self.pages = [_unpacked(body) for body in rows["body"].to_pylist()]
+        self.least, self.at = least, []
+        streams: dict[int, int] = {}
+        distinct = []
+        for page, stream in zip(self.pages, rows["stream"].to_pylist(), strict=True):
+            if stream not in streams:
+                streams[stream] = len(distinct)
+                distinct.append([t for _, tokens in page for t in tokens])
+            self.at.append(streams[stream])
+        self.streams = len(distinct)
+        self.flat = Streams.of(distinct)
+        self.whole = self.flat.windows(least)
+
+    def runs(self, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted numbers of its windows and the streams that hold each, counted up to `most`."""
+        rank, count = self.flat.counted(self.least)
+        place = np.flatnonzero(self.whole)
+        classes, first = np.unique(rank[place], return_index=True)
+        numbers, which = np.unique(self.flat.numbers(self.least, bits)[place[first]], return_inverse=True)
+        return numbers, np.minimum(np.bincount(which, count[classes], len(numbers)).astype(np.int64), most)
+
+    def texts(self, starts: np.ndarray, cover: float) -> list[str]:
+        """Each page's text without what the windows at `starts` cover."""
+        inside = np.split(self.flat.inside(starts & self.whole, self.least), np.flatnonzero(self.flat.tokens < 0) + 1)
+        return [uncovered(page, inside[at][:-1], cover) for page, at in zip(self.pages, self.at, strict=True)]
+
+
+def count_runs(rows: pa.Table, least: int, pages: int) -> pa.Table:
+    """What a group of a host of several groups hands on: for each part of the numbers those that its windows have."""
+    host, group, groups, bits = (rows[k][0].as_py() for k in ("host", "group", "groups", "bits"))
+    parts = -(-groups // PART_GROUPS) if groups > 1 else 0
+    packed, streams = [], 0
+    if parts:
+        held = Group(rows, least)
+        numbers, counts = held.runs(bits, max(2, pages))
+        streams = held.streams
+        part = numbers % np.uint64(parts)
+        packed = [pack_runs(numbers[part == k], counts[part == k]) for k in range(parts)]
+    columns = [[host] * parts, [group] * parts, list(range(parts)), [streams] * parts, packed]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["host", "group", "part", "streams", "runs"])
+
+
+def sum_runs(rows: pa.Table, pages: int) -> pa.Table:
+    """For each group its numbers that enough streams of the host hold, among those of one part."""
+    own = [unpack_runs(packed) for packed in rows["runs"].to_pylist()]
+    numbers, which = np.unique(np.concatenate([n for n, _ in own]), return_inverse=True)
+    total = np.bincount(which, np.concatenate([c for _, c in own]), len(numbers))
+    often = numbers[total >= needed(sum(rows["streams"].to_pylist()), pages)]
+    held = [n[np.isin(n, often)] for n, _ in own]
+    return pa.table([rows["host"], rows["group"], pa.array([pack_runs(n, np.ones(len(n))) for n in held], pa.binary())], names=["host", "group", "runs"])
+
+
+def judge(rows: pa.Table, often: pa.Table, least: int, pages: int, cover: float) -> pa.Table:
+    """The texts of a group's pages, by its own suffixes or, on a host of several groups, by the numbers that are repeated."""
+    if not len(rows):
+        return pa.table([pa.array([], pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string())]))), pa.array([], pa.string())], names=["copies", "text"])
+    group = Group(rows, least)
+    if rows["groups"][0].as_py() > 1:
+        runs = np.concatenate([np.zeros(0, np.uint64), *(unpack_runs(packed)[0] for packed in often["runs"].to_pylist())])
+        starts = np.isin(group.flat.numbers(least, rows["bits"][0].as_py()), runs)
+    else:
+        rank, count = group.flat.counted(least)
+        starts = count[rank] >= needed(group.streams, pages)
+    return pa.table([rows["copies"], pa.array(group.texts(starts, cover), pa.string())], names=["copies", "text"])
 
 
 def uncovered(blocks: list[tuple[int, list[str]]], covered: np.ndarray, cover: float) -> str:
@@ -397,58 +412,35 @@ def uncovered(blocks: list[tuple[int, list[str]]], covered: np.ndarray, cover: f
     return "\n".join(lines)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], least: int, cover: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin, bodies in slices(batch.column("body"), 4 << 20):
-            pages = [_unpacked(b) for b in bodies.to_pylist()]
-            part = batch.slice(begin, len(pages))
-            bits, often = part.column("bits").to_pylist(), part.column("often").to_pylist()
-            flat = Streams.of([[t for _, tokens in page for t in tokens] for page in pages])
-            whole = flat.windows(least)
-            starts, place = np.zeros(len(whole), bool), 0
-            numbers = {b: flat.numbers(least, b) for b in set(bits)}
-            for k, page in enumerate(pages):
-                size = sum(len(t) for _, t in page)
-                if often[k]:
-                    at = slice(place, place + size)
-                    starts[at] = whole[at] & np.isin(numbers[bits[k]][at], np.array(often[k], np.int64).view(np.uint64))
-                place += size + 1
-            inside = np.split(flat.inside(starts, least), np.flatnonzero(flat.tokens < 0) + 1)[: len(pages)]
-            texts = [uncovered(page, covered[:-1], cover) for page, covered in zip(pages, inside, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("copies"), pa.array(texts, pa.string())], ["copies", "text"])
-
-
-def extract(pages: DataFrame, least: int = LEAST, least_pages: int = PAGES, cover: float = COVER, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST, least_pages: int = PAGES, cover: float = COVER, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """For each row of `pages` its page_id, url and text: what stays of the blocks in page order, one to a line.
 
     A null or empty html gives an empty text; a null url is a host of its own. Pages of the same token stream count as
     one, so that copies of a page are no evidence; rows that repeat are all kept. An empty table gives no rows; other
-    columns are ignored. How pages are dealt into parts and slices changes nothing."""
+    columns are ignored. How pages are dealt into groups and parts changes nothing."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*+://(?:[^/?#@]*+@)?([^/:?#]*+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    parts, doublings = F.ceil(F.sum(F.octet_length("html")) / part_bytes).cast("int"), F.ceil(F.log2(F.count("*") / BITS_PAGES)).cast("int")
-    sizes = rows.groupBy("host").agg(parts.alias("parts"), F.least(F.lit(64), BITS + doublings).alias("bits"))
-    large = cut(sizes.where((F.col("parts") > 1) | (F.col("bits") > BITS)))
+    groups, doublings = F.ceil(F.sum(F.octet_length("html")) / group_bytes).cast("int"), F.ceil(F.log2(F.count("*") / BITS_PAGES)).cast("int")
+    sizes = rows.groupBy("host").agg(groups.alias("groups"), F.greatest(F.lit(BITS), F.least(F.lit(64), BITS + doublings)).alias("bits"))
+    large = cut(sizes.where("groups > 1"))
     rows = attach(rows, "host", large, large.count(), F.col("page_id"))
-    rows = rows.withColumns({"parts": F.greatest(F.lit(1), F.coalesce("parts", F.lit(1))), "bits": F.greatest(F.lit(BITS), F.coalesce("bits", F.lit(BITS)))})
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _suffixes(batches, least, least_pages, slice_bytes)
+    rows = rows.withColumns({"groups": F.coalesce("groups", F.lit(1)), "bits": F.coalesce("bits", F.lit(BITS))})
+    parsed = rows.select("page_id", "url", "host", "groups", "bits", "html").mapInArrow(_parse, PARSED)
+    # Both uses of the groups read one exchange.
+    dealt = parsed.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "stream"), F.col("groups")).cast("int")).groupBy("host", "group")
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _bodies(batches, slice_bytes)
+    def counted(group: pa.Table) -> pa.Table:
+        return count_runs(group, least, least_pages)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _texts(batches, least, cover)
+    def summed(part: pa.Table) -> pa.Table:
+        return sum_runs(part, least_pages)
 
-    def count(part: pa.Table) -> pa.Table:
-        return repeated(part, least_pages)
+    def judged(group: pa.Table, often: pa.Table) -> pa.Table:
+        return judge(group, often, least, least_pages, cover)
 
-    found = rows.select("host", "parts", "bits", "html").mapInArrow(suffixes, ENTRIES).groupBy("host", "part").applyInArrow(count, "host string, stream bigint, often array<bigint>")
-    often = found.groupBy("host", "stream").agg(F.flatten(F.collect_list("often")).alias("often"))
-    parsed = rows.select("page_id", "url", "host", "bits", "html").mapInArrow(bodies, PARSED)
-    done = parsed.join(often, ["host", "stream"], "left").select("bits", "body", "often", "copies").mapInArrow(texts, TEXTS)
-    return done.select(F.explode("copies").alias("page"), "text").select("page.page_id", "page.url", "text")
+    often = dealt.applyInArrow(counted, COUNTED).groupBy("host", "part").applyInArrow(summed, "host string, group int, runs binary")
+    texts = dealt.cogroup(often.groupBy("host", "group")).applyInArrow(judged, TEXTS)
+    return texts.select(F.explode("copies").alias("page"), "text").select("page.page_id", "page.url", "text")
 
 
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,31 +75,30 @@ def by_rows(rows) -> Counter:
 
 
 def test_query_gives_what_brute_force_gives(spark, tiny):
-    """op8_extraction: every page, whatever the parts of a host's suffix array and the slices of the pages."""
+    """op8_extraction: every page, however a host's pages are dealt into groups."""
     for folder in (tiny, "/root/testdata/sf0.01"):
         pages = table(spark, folder, "pages")
         expected = by_rows(plain.extracted([(r.page_id, r.url, r.html) for r in pages.collect()]))
         assert by_rows((r.page_id, r.url, r.text) for r in queries()["op8_extraction"](spark, folder).collect()) == expected
-        assert by_rows(extraction.extract(pages.repartition(5), part_bytes=20_000, slice_bytes=30_000).collect()) == expected
+        assert by_rows(extraction.extract(pages.repartition(5), group_bytes=20_000).collect()) == expected
 
 
-def test_runs_of_a_host_are_counted_over_all_its_parts(spark):
+def test_runs_of_a_host_are_counted_over_all_its_groups(spark):
     rows = [(i, f"https://a.example/{i}", f"<p>{story(i)}</p>" + (f"<p>{notice(12)}</p>" if i < 5 else "")) for i in range(40)]
     rows += [(i, f"https://a.example/{i}", rows[i % 7][2]) for i in range(40, 60)]
     rows += [(100 + i, "https://b.example/", f"<nav>{notice(15)}</nav><article><p>{story(i % 3)} {notice(15)}</p><p>{notice(9)}</p></article>") for i in range(9)]
-    for part, size in ((1 << 20, 1 << 20), (500, 700), (2_000, 1)):
-        assert texts(spark, rows, part_bytes=part, slice_bytes=size) == {i: t for i, _, t in plain.extracted(rows)}
+    for size in (1 << 20, 700, 100):
+        assert texts(spark, rows, group_bytes=size) == {i: t for i, _, t in plain.extracted(rows)}
     found = texts(spark, rows)
     assert all(found[i] == story(i) for i in range(40)) and all(found[i] == story(i % 7) for i in range(40, 60))
 
 
-def test_entries_are_packed_without_loss():
+def test_runs_are_packed_without_loss():
     rng = np.random.default_rng(3)
-    for bits, n in ((40, 0), (40, 1), (64, 500), (40, 5000)):
-        numbers, owner = rng.integers(0, 1 << bits, n, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 300, n)
-        streams = rng.integers(-(1 << 62), 1 << 62, 300)
-        back = extraction.unpack_entries(extraction.pack_entries(numbers, owner, streams))
-        assert Counter(zip(*(x.tolist() for x in back), strict=True)) == Counter(zip(numbers.tolist(), streams[owner].tolist(), strict=True))
+    for n in (0, 1, 5000):
+        runs, counts = np.unique(rng.integers(0, 1 << 64, n, np.uint64)), rng.integers(1, 4, n)
+        back = extraction.unpack_runs(extraction.pack_runs(runs, counts))
+        assert back[0].tolist() == runs.tolist() and back[1].tolist() == counts.tolist()
 
 
 def lines(html: str) -> list[str]:
