@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import doc_mod, table
+from siltstone.llm.common import attach, cut, doc_mod, table
 
-#: Whole texts that a dictionary is made of at most, and the bytes at which it takes no further one.
+#: Texts that a dictionary is made of at most, and the bytes at which it takes no further one; of a text that alone is
+#: longer, so many characters. These bound the sample that is learned from, and what the driver collects.
 SAMPLE_DOCS, DICT_BYTES = 200, 256 << 10
 LEVEL, MARGIN, UNKNOWN = 6, 0.01, "und"
-#: Texts below so many bytes are compressed at the level that also finds matches of three bytes.
-SHORT, SHORT_LEVEL = 1024, 19
 _DROPPED = bytes(b for b in range(33, 127) if not chr(b).isalpha())
+#: Letters, and a few signs such as fractions and Roman numerals, which are none.
 _LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -35,46 +35,50 @@ def plain(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(None, _DROPPED)
 
 
-def sample(docs: DataFrame, learnable: Column, per_lang: int = SAMPLE_DOCS) -> DataFrame:
-    """At most `per_lang` texts of each language, those of the least hashes: a uniform sample of bounded size."""
+def sample(docs: DataFrame, learnable: Column, per_lang: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> DataFrame:
+    """At most `per_lang` texts of each language, those of the least hashes, until they have `dict_bytes` bytes: a
+    uniform sample of bounded size."""
     usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = usable.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count("*")).alias("__share"), F.count("*").alias("__docs"))
-    few = usable.select("lang", "text", rank.alias("__rank")).join(F.broadcast(share), "lang").where("__rank < __share")
-    return few.withColumn("__n", F.row_number().over(W.partitionBy("lang").orderBy("__rank", "text"))).where(F.col("__n") <= per_lang).select("lang", "text", "__n", "__docs")
+    share = cut(usable.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count("*")).alias("__share"), F.count("*").alias("__docs")))
+    rows = attach(usable.select("lang", "text", "doc_id", rank.alias("__rank")), "lang", share, share.count(), F.col("doc_id"))
+    few = rows.where("__rank < __share").select("lang", F.substring("text", 1, dict_bytes).alias("text"), "__rank", "__docs")
+    by_rank = W.partitionBy("lang").orderBy("__rank", "text")
+    held = F.coalesce(F.sum(F.octet_length("text")).over(by_rank.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumn("__n", F.row_number().over(by_rank)).where(F.col("__n") <= per_lang).withColumn("__held", held)
+    return few.where(F.col("__held") < dict_bytes).select("lang", "text", "__n", "__docs")
 
 
 def learn(docs: DataFrame, learnable: Column, per_lang: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """A dictionary for each language, of at most `dict_bytes` bytes and one text; languages of most documents first."""
     found: dict[str, list[bytes]] = {}
-    rows = sample(docs, learnable, per_lang).collect()
+    rows = sample(docs, learnable, per_lang, dict_bytes).collect()
     for lang, text, _, _ in sorted(rows, key=lambda r: (-r["__docs"], r["lang"], r["__n"])):
-        parts = found.setdefault(lang, [])
-        if sum(map(len, parts)) < dict_bytes:
-            parts.append(plain(text))
+        found.setdefault(lang, []).append(plain(text))
     return {lang: b"\n".join(parts) for lang, parts in found.items()}
 
 
+def spoken(text: str | None) -> bool:
+    """Whether a text has a letter."""
+    return text is not None and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def _classify(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes], level: int, margin: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    def packers(at: int) -> list:
-        found = []
-        for content in dictionaries.values():
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=at)
-            found.append(zstandard.ZstdCompressor(level=at, dict_data=known, write_content_size=False, write_dict_id=False))
-        return found
-
-    langs, of_short, of_long = list(dictionaries), packers(SHORT_LEVEL), packers(level)
+    langs, packers = list(dictionaries), []
+    for content in dictionaries.values():
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=level)
+        packers.append(zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_dict_id=False))
     for batch in batches:
         out = []
         for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-            if text is None or not langs or not _LETTER.search(text):
+            if not langs or not spoken(text):
                 out.append((UNKNOWN, 0.0, 0.0, True))
                 continue
             data = plain(text)
-            sizes = [len(p.compress(data)) for p in (of_short if len(data) < SHORT else of_long)]
+            sizes = [len(p.compress(data)) for p in packers]
             order = sorted(range(len(langs)), key=lambda i: (sizes[i], i))
             best = sizes[order[0]]
             gap = (sizes[order[1]] - best) / sizes[order[1]] if len(order) > 1 else 1.0
