@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from siltstone.llm.common import cut, doc_mod, table, text_or_empty
 from siltstone.llm.tokens import slices
 
-#: Labelled documents that a model is fitted to, on average, and the most entries of its lexicon.
-SAMPLE, LEXICON = 20_000, 1_000
+#: Labelled documents that a model is fitted to, on average.
+SAMPLE = 20_000
 #: An entry is in at least so many toxic documents of its part, and its log odds are so many standard errors over zero.
 LEAST_DOCS, LEAST_Z = 3, 2.5
 STEMS = (4, 5, 6)
@@ -62,8 +62,8 @@ def _weights(words: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
 
 
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums within each text; differences of sums over the batch would depend, in the last bits, on the texts before."""
+    return np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), values, len(bounds) - 1)
 
 
 def features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
@@ -145,15 +145,16 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from sums.select(["form", "toxic_sum", "n_sum"]).rename_columns(["form", "toxic", "n"]).to_batches()
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
-    """Entries and their smoothed log odds, from rows of text and toxic (0 or 1, long)."""
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Entries and their smoothed log odds, from rows of text and toxic (0 or 1, long): all that meet LEAST_DOCS and
+    LEAST_Z. As the rows are a bounded sample, so are the entries."""
     total = rows.agg(F.sum("toxic"), F.count("*")).first()
     bad, good = total[0] or 0, (total[1] or 0) - (total[0] or 0)
     counts = rows.select("text", "toxic").mapInArrow(_forms, "form string, toxic long, n long").groupBy("form").agg(F.sum("toxic").alias("bad"), F.sum("n").alias("n"))
     a, b = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
     odds = F.log(a / F.lit(bad + 1.0)) - F.log(b / F.lit(good + 1.0))
     strong = counts.where(F.col("bad") >= LEAST_DOCS).withColumns({"odds": odds, "z": odds / F.sqrt(1 / a + 1 / b)}).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.5))
-    return {r["form"]: r["odds"] for r in strong.orderBy(F.desc("z"), "form").limit(most).collect()}
+    return {r["form"]: r["odds"] for r in strong.orderBy("form").collect()}
 
 
 @dataclass

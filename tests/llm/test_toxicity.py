@@ -1,7 +1,9 @@
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from siltstone.llm import toxicity
 from siltstone.llm.common import doc_mod, table
@@ -62,3 +64,63 @@ def test_rare_labels_are_all_drawn_and_reach_every_part(spark):
     assert model.trees is not None
     scored = {r.doc_id: r.score for r in model.score(docs).collect()}
     assert min(s for i, s in scored.items() if i % 400 == 0) > max(s for i, s in scored.items() if i % 400)
+
+
+def plain_features(text: str, lexicon: dict[str, float]) -> dict[str, float]:
+    """The features of one text by loops over its words."""
+    chunks = re.split(r"[\x09-\x0D ]+", text)
+    spell = str.maketrans({k: v for k, v in toxicity.STAND_INS.items()})
+    forms = [("".join(regex.findall(r"\p{L}", c.lower())), "".join(regex.findall(r"\p{L}", c.lower().translate(spell)))) for c in chunks]
+
+    def weight(word: str) -> float:
+        return max([0.0, lexicon.get(word + "$", 0.0), *(lexicon.get(word[:n], 0.0) for n in toxicity.STEMS)])
+
+    shown = [weight(p) for p, _ in forms]
+    found = [max(s, weight(r)) for s, (_, r) in zip(shown, forms, strict=True)]
+    spoken = [p in toxicity.ADDRESS for p, _ in forms]
+    words, signs = max(1, sum(1 for c in chunks if c)), max(1, sum(map(len, chunks)))
+    letters, capitals = [len(regex.findall(r"\p{L}", c)) for c in chunks], [len(regex.findall(r"\p{Lu}", c)) for c in chunks]
+    hits = [k for k, w in enumerate(found) if w > 0]
+    near = sum(any(spoken[max(0, k - toxicity.NEAR) : k + toxicity.NEAR + 1]) for k in hits)
+    return {
+        "hits": len(hits),
+        "density": 100 * len(hits) / words,
+        "weight": sum(found),
+        "densest": max((sum(k <= j < k + toxicity.WINDOW for j in hits) for k in hits), default=0),
+        "addressed": 100 * near / words,
+        "masked": sum(w > s for w, s in zip(found, shown, strict=True)),
+        "capitals": sum(capitals) / max(1, sum(letters)),
+        "shouted": sum(a == b > 2 for a, b in zip(capitals, letters, strict=True)) / words,
+        "punctuation": sum(len(regex.findall(r"[^\p{L}\p{N}\s]", c)) for c in chunks) / signs,
+        "exclaimed": 100 * sum(c.count("!") + c.count("?") for c in chunks) / signs,
+        "obfuscated": 100 * sum(bool(regex.search(r"\p{L}[^\p{L}\s'’-]+\p{L}", c)) for c in chunks) / words,
+        "log_words": math.log1p(words),
+    }
+
+
+def walked(lines: list[str], row: list[float]) -> float:
+    """What a tree in Spark's text form predicts for a row."""
+    at = 0
+    while not (leaf := re.match(r"\s*Predict: (\S+)", lines[at])):
+        depth, feature, sign, limit = re.match(r"(\s*)If \(feature (\d+) (<=|>) (\S+)\)", lines[at]).groups()
+        assert sign == "<="
+        if row[int(feature)] <= float(limit):
+            at += 1
+        else:
+            at = next(k for k in range(at + 1, len(lines)) if lines[k].startswith(f"{depth}Else")) + 1
+    return float(leaf[1])
+
+
+def test_scores_are_those_of_the_trees_as_text(spark):
+    """op3_toxicity, pipeline: every document of a folder, by loops over words, trees and the calibration's steps."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, doc_mod("doc_id", 5) != 0)
+    trees = [re.split(r"\n", t.toDebugString.strip("\n"))[1:] for t in model.trees.stages[-1].trees]
+    weights = model.trees.stages[-1].treeWeights
+    steps, values = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in model.score(docs.select("doc_id", "text")).collect():
+        found = plain_features(texts[r.doc_id], model.lexicon)
+        row = [found[k] for k in toxicity.FEATURES]
+        margin = sum(w * walked(t, row) for w, t in zip(weights, trees, strict=True))
+        assert math.isclose(r.score, float(np.clip(np.interp(margin, steps, values), 0, 1)), abs_tol=1e-9), r.doc_id
