@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import cut, table, text_or_empty
+from siltstone.llm.common import cut, hot_keys, spread_join, table, text_or_empty
 
 BITS, BUDGET, WORDS, SEED = 64, 3, 3, 42
 #: Fingerprints of a bucket that one task takes; larger buckets are parted.
@@ -182,14 +182,17 @@ def stars(prints: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """vertex, root: the least vertex that links (a, b) lead to. Each round takes the least label among a vertex and
-    its neighbours, then the label of that label, so long chains shrink by half or better."""
+    its neighbours, then the label of that label, so long chains shrink by half or better. The many rows of a hub, or of
+    the root of a large class, aren't moved to the row that they are joined with."""
     both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    hubs = hot_keys(both, "b")
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("vertex"), "root"))
     while True:
-        near = both.join(labels, both["b"] == labels["vertex"]).groupBy("a").agg(F.min("root").alias("near"))
+        near = spread_join(both, "b", labels.select(F.col("vertex").alias("b"), "root"), hubs).groupBy("a").agg(F.min("root").alias("near"))
         stepped = labels.join(near, labels["vertex"] == near["a"], "left").select("vertex", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = labels.select(F.col("vertex").alias("root"), F.col("root").alias("to"))
-        now = cut(stepped.join(jump, "root", "left").select("vertex", "was", F.least("root", F.coalesce("to", "root")).alias("root")))
+        stepped = cut(stepped)
+        now = cut(spread_join(stepped, "root", jump, hot_keys(stepped, "root"), "left").select("vertex", "was", F.least("root", F.coalesce("to", "root")).alias("root")))
         if now.where("was <> root").isEmpty():
             return now.select("vertex", "root")
         labels = now.select("vertex", "root")
@@ -203,28 +206,27 @@ def classes(docs: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> Data
     prints = cut(fingerprints(docs))
     least = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = components(stars(least.select("print"), budget, bucket))
-    joined = least.join(roots, least["print"] == roots["vertex"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    joined = cut(least.join(roots, least["print"] == roots["vertex"], "left").select("print", "least", F.coalesce("root", "print").alias("root")))
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(best, "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "text_hash", "print", "component_id")
+    named = spread_join(joined, "root", best, hot_keys(joined, "root")).select("print", "component_id")
+    return spread_join(prints, "print", named, hot_keys(prints, "print")).select("doc_id", "text_hash", "print", "component_id")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
     """The rows of `docs`, with its columns, that stay when of each class only the document of the least doc_id does.
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id go if their class has a document with one;
-    else one of each text stays."""
+    else one of each text stays. Columns may have any name."""
     found = cut(classes(docs, budget, bucket))
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash")
-    single = chosen.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("__n")).where("doc_id is not null")
-    nameless = chosen.where("doc_id is null").distinct()
-    columns = docs.columns
-    rows = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
-    named = rows.join(single.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), "__n"), (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__of")))
-    once = named.where("__n = 1").select(*columns)
-    again = named.where("__n > 1").dropDuplicates(["doc_id"]).select(*columns)
-    rest = rows.where("doc_id is null").join(nameless.select(F.col("text_hash").alias("__of")), F.col("__hash") == F.col("__of"), "left_semi").dropDuplicates(["__hash"])
-    return once.unionAll(again).unionAll(rest.select(*columns))
+    single = chosen.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n")).where("doc_id is not null")
+    nameless = chosen.where("doc_id is null").select("text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
+    named = rows.join(single, ["doc_id", "text_hash"])
+    once = named.where("n = 1").select("row")
+    again = named.where("n > 1").groupBy("doc_id").agg(F.any_value("row").alias("row")).select("row")
+    rest = rows.where("doc_id is null").join(nameless, "text_hash", "left_semi").groupBy("text_hash").agg(F.any_value("row").alias("row")).select("row")
+    return once.unionAll(again).unionAll(rest).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
