@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import cut, table
+from siltstone.llm.common import cut, hot_keys, spread_join, table
 
 K, EVERY = 20, 20
 #: Distinct candidate vectors in a stripe and distinct query vectors in a block, on average.
@@ -125,7 +125,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
     ranked = rows.dropDuplicates(["id", "vector"]).withColumn("n", F.row_number().over(W.partitionBy("vector").orderBy("id")))
     distinct = ranked.where(F.col("n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = cut(distinct.select("vector", "ids", F.col("ids")[0].alias("v"), F.xxhash64("vector").alias("h"), F.size("vector").alias("dim")))
-    asked = cut(rows.where("asks").select("id", "vector").distinct().join(distinct.select("vector", F.col("v").alias("q"), "h", "dim"), "vector"))
+    asking = rows.where("asks").select("id", "vector").distinct()
+    asked = cut(spread_join(asking, "vector", distinct.select("vector", F.col("v").alias("q"), "h", "dim"), hot_keys(asking, "vector")).select("id", "vector", F.struct("q", "h").alias("at"), "q", "h", "dim"))
     # A distinct vector is named by its least id and, as rows may share an id, by its hash.
     queries = asked.dropDuplicates(["q", "h"]).select("q", "h", "vector", "dim")
     n_v, n_q = distinct.count(), queries.count()
@@ -142,7 +143,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
     tiles = left.groupBy("s", "b", "dim").cogroup(right.groupBy("s", "b", "dim")).applyInPandas(search, "q long, h long, v long, ids array<long>, score double")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = tiles.repartition(tasks, "q", "h").mapInPandas(merge, "q long, h long, score double, id long")
-    answers = asked.select(F.col("id").alias("query_id"), "q", "h").join(found, ["q", "h"]).where("query_id <> id")
+    lists = found.groupBy(F.struct("q", "h").alias("at")).agg(F.collect_list(F.struct("score", "id")).alias("near"))
+    answers = spread_join(asked.select(F.col("id").alias("query_id"), "at"), "at", lists, hot_keys(asked, "at"))
+    answers = answers.select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", "x.id").where("query_id <> id")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
