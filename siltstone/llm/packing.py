@@ -106,7 +106,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     groups = max(1, round(total / group_tokens))
     spark = docs.sparkSession
     tasks = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = found.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # Pieces that are alike in everything are counted and told apart by ordinals, so that they don't share a group.
+    alike = found.groupBy(*found.columns).agg(F.count("*").alias("n")).select(*found.columns, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    dealt = alike.select(*found.columns, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)).alias("pack_group"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         return _pack(group, capacity, linear, quadratic)
