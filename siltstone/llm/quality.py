@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD_GAP, attach, cut, table, text_or_empty
+from siltstone.llm.common import WORD_GAP, attach, cut, table, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -73,19 +73,18 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in rest], measures(text).alias("__m")).select(*[F.col(f"`{c}`") for c in rest], "__m.*")
 
 
-def rule_failed() -> Column:
-    """Whether a measured document counts against its host: a base rule, many symbols, repeated lines or odd words."""
-    words, chars = F.col("n_words"), F.col("word_chars")
-    return F.col("base_failed") | (10 * F.col("n_symbols") > words) | (F.col("n_dup_lines") > 5) | (chars < 2 * words) | (chars > 20 * words)
+def rule_failed(m: Column) -> Column:
+    """Whether a document of these measures counts against its host: a base rule, many symbols, repeated lines or odd words."""
+    words, chars = m["n_words"], m["word_chars"]
+    return m["base_failed"] | (10 * m["n_symbols"] > words) | (m["n_dup_lines"] > 5) | (chars < 2 * words) | (chars > 20 * words)
 
 
-def host_rates(measures: DataFrame, host: str = "source") -> tuple[DataFrame, int]:
-    """For each host its documents, failures and shrunk rate, and the number of hosts; rows without a host have none.
+def host_rates(rows: DataFrame, failed: Column) -> tuple[DataFrame, int]:
+    """For each `host` its documents, failures and shrunk rate, and the number of hosts; rows without a host have none.
 
     The prior's mean is the mean of the hosts' rates; its weight follows from how far their variance exceeds what
     chance alone gives (no excess: all the weight that any host's documents have). Both are sums over hosts."""
-    failed = rule_failed().cast("long")
-    by = cut(measures.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed")))
+    by = cut(rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")))
     rate = F.col("n_failed") / F.col("n_docs")
     mean, spread, chance, most, hosts = by.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_docs")), F.max("n_docs"), F.count("*")).first()
     if not hosts:
@@ -101,17 +100,21 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     A null text counts as empty and fails. Without a host the base rules alone decide. Rows that repeat are all
     kept and each count. An empty table gives no rows; other columns are ignored."""
     found = cut(measured(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text"))
-    rates, hosts = host_rates(found, "host")
+    rates, hosts = host_rates(found, rule_failed(F.struct(*MEASURES, "base_failed")))
     rated = attach(found, "host", rates.select("host", "host_rate"), hosts, F.col("doc_id"))
     return rated.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= limit))
 
 
 def keep(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of `docs`, with its columns, that `judge` keeps."""
-    rates, hosts = host_rates(cut(measured(docs.select(F.col(host).alias("host"), "text")).drop("text")), "host")
-    columns = [F.col(f"r.`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct("*").alias("r"), F.col("doc_id").alias("__id"), F.col(host).alias("__source"), "text").where(~measures()["base_failed"])
-    return attach(rows, "__source", rates.select("host", "host_rate").withColumnRenamed("host", "__source"), hosts, F.col("__id")).where(F.coalesce("host_rate", F.lit(0.0)) <= limit).select(*columns)
+    """The rows of `docs`, with its columns, that `judge` keeps. Columns may have any name.
+
+    Texts are measured once: what a row is judged by is written beside it, without the row where the base rules fail."""
+    verdict = let(measures(), lambda m: F.struct(m["base_failed"].alias("base"), rule_failed(m).alias("failed")))
+    held = docs.select(F.col(host).alias("host"), verdict.alias("v"), F.struct("*").alias("row"))
+    held = written(held.select("host", F.col("v.failed").alias("failed"), F.when(~F.col("v.base"), F.col("row")).alias("row")))
+    rates, hosts = host_rates(held, F.col("failed"))
+    rated = attach(held.where("row is not null").select("host", "row"), "host", rates.select("host", "host_rate"), hosts, F.col("row.doc_id"))
+    return rated.where(F.coalesce("host_rate", F.lit(0.0)) <= limit).select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
