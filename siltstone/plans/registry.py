@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search_plans", "rollup_plans", "history_plans", "text_plans")
+MODULES = ("search_plans", "rollup_plans", "history_plans", "text_plans", "posting_plans", "record_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
