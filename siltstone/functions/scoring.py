@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions.numbers import round_half_up
+from siltstone.functions.text import has_text, token_similarity
 
 #: The weight of each dimension and of each tier of skills.
 WEIGHTS = {"skills": 40, "role": 20, "experience": 15, "location": 10, "seniority": 10, "work_mode": 5}
@@ -55,3 +56,61 @@ def tier(score: Column, blocked: Column, lacks: Column, sure: Column) -> Column:
     """The tier that a match is shown in."""
     best = (score >= 95) & ~lacks & (sure == "HIGH")
     return F.when(score.isNull(), "UNAVAILABLE").when(blocked, "NOT_ELIGIBLE").when(score < 70, "HIDDEN").when(best, "EXCELLENT").when(score >= 85, "STRONG").when(score >= 75, "MODERATE").otherwise("WEAK")
+
+
+#: Years short of the least at which a role is out of reach, and the scores at which a match is told.
+BLOCKING_YEARS = 2.0
+PRIORITIES = {"IMMEDIATE": 95, "DIGEST": 85, "IN_APP": 75}
+
+
+def role_score(targets: Column, title: Column) -> Column:
+    """The best similarity of a target to the title, raised by 1.6 and capped; null without targets or title."""
+    best = F.array_max(F.transform(targets, lambda t: token_similarity(t, title)))
+    return F.when((F.size(targets) > 0) & has_text(title), round_half_up(F.least(F.lit(1.0), best * 1.6) * 100))
+
+
+def _plain(text: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(text, F.lit(""))))
+
+
+def place_acceptable(wanted: Column, city: Column, place: Column) -> Column:
+    """Whether one of the wanted places is the city, is named in the place, or names the city."""
+    town, where = _plain(city), _plain(place)
+
+    def fits(option: Column) -> Column:
+        x = _plain(option)
+        return (x != "") & ((x == town) | ((where != "") & where.contains(x)) | ((town != "") & x.contains(town)))
+
+    return F.exists(wanted, fits)
+
+
+def location_score(wanted: Column, modes: Column, relocates: Column, mode: Column, city: Column, place: Column) -> Column:
+    """Remote work suits anywhere; else a place that is acceptable, then one that can be moved to."""
+    told = (mode != "UNSPECIFIED") | has_text(city) | has_text(place)
+    remote = F.when(F.array_contains(modes, "REMOTE") | (F.size(modes) == 0), 100).otherwise(80)
+    there = F.when(place_acceptable(wanted, city, place), 100).when(relocates, 60).when(mode == "ONSITE", 20).otherwise(30)
+    return F.when(told & (F.size(wanted) > 0), F.when(mode == "REMOTE", remote).otherwise(there)).cast("long")
+
+
+def work_mode_score(modes: Column, mode: Column) -> Column:
+    return F.when((mode != "UNSPECIFIED") & (F.size(modes) > 0), F.when(F.array_contains(modes, mode), 100).otherwise(40)).cast("long")
+
+
+def blockers(years: Column, least: Column, mode: Column, acceptable: Column, relocates: Column) -> Column:
+    """What keeps a candidate from a role."""
+    short = F.when(least - years >= BLOCKING_YEARS, "EXPERIENCE_BELOW_MINIMUM")
+    away = F.when((mode == "ONSITE") & ~acceptable & ~relocates, "ONSITE_UNREACHABLE")
+    return F.array_compact(F.array(short, away))
+
+
+def eligibility(blocked: Column, sure: Column, states_anything: Column, gaps: Column) -> Column:
+    return F.when(F.size(blocked) > 0, "NOT_ELIGIBLE").when((sure == "INSUFFICIENT") | ~states_anything, "UNKNOWN").when(gaps, "ELIGIBLE_WITH_GAPS").otherwise("ELIGIBLE")
+
+
+def priority(score: Column, alerts: Column) -> Column:
+    """How a match is told, null for one that isn't; without alerts nothing is told at once."""
+    out = None
+    for name, least in PRIORITIES.items():
+        shown = F.when(alerts, name).otherwise("DIGEST") if name == "IMMEDIATE" else F.lit(name)
+        out = F.when(score >= least, shown) if out is None else out.when(score >= least, shown)
+    return out

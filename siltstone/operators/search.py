@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,11 +64,16 @@ def relevance(phrase: str, title: str, document: str, most_terms: int = 6) -> tu
     return every, reduce(lambda a, b: a + b, each, whole)
 
 
-def page(rows: DataFrame, order: list[Column], number: int, size: int, cap: int = 100) -> tuple[DataFrame, int, int]:
-    """A page in an order that ends with a unique key, and how many rows and pages there are."""
+def page(rows: DataFrame, order: list[Column], number: int, size: int, cap: int = 100) -> DataFrame:
+    """A page in an order that ends with a unique key."""
     size, number = max(1, min(size, cap)), max(0, number)
-    total = rows.count()
-    return rows.orderBy(*order).offset(number * size).limit(size), total, ceil(total / size)
+    return rows.orderBy(*order).offset(number * size).limit(size)
+
+
+def pages_of(rows: DataFrame, size: int, cap: int = 100) -> DataFrame:
+    """How many rows and pages of a size there are; it is counted when it is asked for."""
+    size = max(1, min(size, cap))
+    return rows.agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).alias("pages"))
 
 
 def top_per_key(rows: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:

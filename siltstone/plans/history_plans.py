@@ -136,11 +136,17 @@ def guarded_rename(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ordered_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Insertions, removals and moves between two orders of the same values."""
-    was = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "e")], "was int, v string")
-    now = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c"), (3, "d")], "now int, v string")
+    """Insertions, removals and moves between the orders in which a user first did things before and after a day."""
+    events = read(spark, sf, "events")
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+
+    def order(rows: DataFrame, name: str) -> DataFrame:
+        first = rows.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+        return first.select("user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("first")).alias(name))
+
+    both = order(events.where(F.col("ts") < cut), "was").join(order(events.where(F.col("ts") >= cut), "now"), ["user_id", "event_type"], "full_outer")
     kind = F.when(F.col("was").isNull(), "inserted").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "moved")
-    return was.join(now, "v", "full_outer").select("v", kind.alias("kind")).where("kind is not null")
+    return both.select("user_id", "event_type", kind.alias("kind")).where("kind is not null")
 
 
 QUERIES = {
@@ -194,7 +200,8 @@ ORACLE_SQL = {
       case when o.o_custkey % 2 = 0 then coalesce(n.o_totalprice, o.o_totalprice) else coalesce(o.o_totalprice, n.o_totalprice) end as o_totalprice from o left join n on o.o_orderkey = n.o_orderkey""",
     "chg01_changes": f"""with o as ({_OLD}), n as ({_NEW}), b as (select o.o_orderkey as k, o.o_orderstatus as s, n.o_orderstatus as t, o.o_totalprice as p, n.o_totalprice as q from o join n on o.o_orderkey = n.o_orderkey)
       select field, count(*) as n, min(k) as first_key, max(k) as last_key from (select k, 'o_orderstatus' as field from b where s <> t union all select k, 'o_totalprice' from b where p <> q) group by 1""",
-    "chg03_ordered_diff": "select * from (values ('a', 'moved'), ('b', 'moved'), ('d', 'inserted'), ('e', 'removed')) as t(v, kind)",
+    "chg03_ordered_diff": """with f as (select user_id, event_type, ts >= timestamp '2024-01-16' as late, min((ts, event_id)) as first from events group by 1, 2, 3), r as (select *, row_number() over (partition by user_id, late order by first) as n from f),
+      b as (select user_id, event_type, max(n) filter (not late) as was, max(n) filter (late) as now from r group by 1, 2) select user_id, event_type, case when was is null then 'inserted' when now is null then 'removed' else 'moved' end as kind from b where was is distinct from now""",
     "ent05_close_vanished": "select o_custkey, count(*) filter (o_orderkey % 5 = 0) as n_left, n_left = 0 as closed from orders group by 1",
     "ent07_stale": "select o_orderkey from orders where o_orderstatus = 'O' and o_orderdate < timestamp '1998-12-01' - interval 45 days order by o_orderdate, o_orderkey limit 200",
     "stm01_illegal_steps": f"""select from_state, to_state, count(*) as n from ({_STEPS}) where from_state is not null and from_state <> to_state

@@ -78,9 +78,9 @@ def stale_policies(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers never checked, without a rule, or last checked too long before the newest shipment."""
     lines = read(spark, sf, "lineitem")
     last = lines.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_shipdate").alias("verified"))
-    now = lines.agg(F.max("l_shipdate").alias("now"))
-    rows = read(spark, sf, "supplier").join(last, "s_suppkey", "left").join(F.broadcast(now))
-    return rows.where(F.col("verified").isNull() | (F.col("s_acctbal") < 0) | (F.col("verified") < F.col("now") - F.expr("interval 30 days"))).select("s_suppkey")
+    now = lines.agg(F.max("l_shipdate")).scalar()
+    rows = read(spark, sf, "supplier").join(last, "s_suppkey", "left")
+    return rows.where(F.col("verified").isNull() | (F.col("s_acctbal") < 0) | (F.col("verified") < now - F.expr("interval 30 days"))).select("s_suppkey")
 
 
 def projections(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.numbers import round_half_up, success_ratio
 from siltstone.operators import history as H
 from siltstone.operators import search as S
+from siltstone.functions.urls import host_suffixes
 from siltstone.sources.tables import read
 
 TYPES = ["signup", "purchase", "view", "click", "error", "refund"]
@@ -134,23 +135,38 @@ def unseen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def theta(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "supplier").join(read(spark, sf, "customer"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_acctbal") < F.col("c_acctbal"))).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    """For each supplier the customers of its nation with a larger balance, without pairing them: customers are counted by
+    nation and step of balance, and one by one only within a supplier's own step."""
+    sides = read(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("long").alias("s_suppkey"), F.lit(1).alias("one"))
+    sides = sides.unionByName(read(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), "s_suppkey", F.lit(0).alias("one"))).withColumn("step", F.floor("balance"))
+    steps = sides.groupBy("nation", "step").agg(F.sum("one").alias("held"))
+    above = Window.partitionBy("nation").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("nation", "step", F.coalesce(F.sum("held").over(above), F.lit(0)).alias("above"))
+    upto = F.sum("one").over(Window.partitionBy("nation", "step").orderBy(F.desc("balance")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("one").over(Window.partitionBy("nation", "step", "balance"))
+    within = sides.withColumn("larger", upto - equal).where("s_suppkey is not null")
+    return within.join(steps, ["nation", "step"]).select("s_suppkey", (F.col("larger") + F.col("above")).alias("n")).where("n > 0")
 
 
 def domains(spark: SparkSession, sf: str) -> DataFrame:
-    """An e-mail domain belongs to the tenant that claims it or a domain above it; several tenants are an error."""
-    claims = spark.createDataFrame([("mail1.example.com", "a"), ("example.com", "b"), ("other.org", "c")], "claim string, tenant string")
-    mails = spark.createDataFrame([("x@mail1.example.com",), ("y@sub.other.org",), ("z@nowhere.net",), ("w@notother.org",)], "mail string")
-    domain = F.split("mail", "@")[1]
-    tail = lambda i: F.array_join(F.slice(F.split(domain, r"\."), i, F.size(F.split(domain, r"\."))), ".")
-    above = mails.withColumn("claim", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(domain, r"\."))), tail)))
-    hits = above.join(F.broadcast(claims), "claim", "left").groupBy("mail").agg(F.count_distinct("tenant").alias("n"), F.min("tenant").alias("tenant"))
-    return hits.select("mail", F.when(F.col("n") == 1, F.col("tenant")).alias("tenant"), (F.col("n") > 1).alias("ambiguous"))
+    """A mail's domain belongs to the tenant that claims it or a domain above it; several tenants are an error."""
+    nations = read(spark, sf, "nation")
+    land = F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))
+    claims = nations.select(F.concat(land, F.lit(".example")).alias("claim"), F.concat(F.lit("region "), "n_regionkey").alias("tenant"))
+    claims = claims.unionByName(nations.where("n_nationkey > 12").select(F.concat(F.lit("sub1."), land, F.lit(".example")).alias("claim"), F.lit("other").alias("tenant")))
+    people = read(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    mails = people.select("s_suppkey", F.concat(F.lit("sub"), (F.col("s_suppkey") % 3).cast("string"), F.when(F.col("s_suppkey") % 7 == 0, "not").otherwise("."), land, F.lit(".example")).alias("domain"))
+    above = mails.select("s_suppkey", F.explode(host_suffixes(F.col("domain"))).alias("claim"))
+    hits = above.join(claims, "claim", "left").groupBy("s_suppkey").agg(F.count_distinct("tenant").alias("n"), F.min("tenant").alias("tenant"))
+    return hits.select("s_suppkey", F.when(F.col("n") == 1, F.col("tenant")).alias("tenant"), (F.col("n") > 1).alias("ambiguous"))
 
 
 def set_ops(spark: SparkSession, sf: str) -> DataFrame:
-    held = read(spark, sf, "documents").select("doc_id", F.array_distinct(F.slice(F.split("text", " "), 1, 12)).alias("a"), F.array_distinct(F.slice(F.split("text", " "), 8, 12)).alias("b"))
-    return held.select("doc_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("missing"))
+    """All words that a conversation's user and assistant say: those that both do, either does, and only the user does."""
+    words = F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))
+    said = read(spark, sf, "conversations").select("conv_id", "role", F.explode(words).alias("word")).distinct()
+    each = said.groupBy("conv_id", "word").agg(F.bool_or(F.col("role") == "user").alias("a"), F.bool_or(F.col("role") == "assistant").alias("b")).where("a or b")
+    return each.groupBy("conv_id").agg(F.count_if(F.col("a") & F.col("b")).alias("common"), F.count("*").alias("either"), F.count_if(F.col("a") & ~F.col("b")).alias("missing"))
 
 
 def set_ops_whole(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,12 +241,11 @@ ORACLE_SQL = {
     "join06_unseen": "select distinct user_id, event_type from events where event_id % 2 = 0 and (user_id, event_type) not in (select (user_id, event_type) from events where event_id % 7 = 1)",
     "join08_theta": "select s_suppkey, count(*) as n from supplier join customer on s_nationkey = c_nationkey and s_acctbal < c_acctbal group by 1",
     "join10_ordered_lookup": "select place::int as place, c_custkey, c_name from customer join (values (0, 17), (1, 3), (2, 999999999), (3, 42), (4, 5)) as v(place, id) on c_custkey = id",
-    "join17_domain_tenant": """select mail, case when count(distinct tenant) = 1 then min(tenant) end as tenant, count(distinct tenant) > 1 as ambiguous
-      from (values ('x@mail1.example.com'), ('y@sub.other.org'), ('z@nowhere.net'), ('w@notother.org')) as m(mail)
-      left join (values ('mail1.example.com', 'a'), ('example.com', 'b'), ('other.org', 'c')) as c(claim, tenant)
-      on split_part(mail, '@', 2) = claim or ends_with(split_part(mail, '@', 2), '.' || claim) group by 1""",
-    "set01_set_operations": """select doc_id, len(list_intersect(a, b))::int as common, len(list_distinct(a || b))::int as either, (len(list_distinct(a)) - len(list_intersect(a, b)))::int as missing
-      from (select doc_id, list_distinct(string_split(text, ' ')[1:12]) as a, list_distinct(string_split(text, ' ')[8:19]) as b from documents)""",
+    "join17_domain_tenant": """with l as (select *, lower(replace(n_name, ' ', '-')) as land from nation), c as (select land || '.example' as claim, 'region ' || n_regionkey as tenant from l union all select 'sub1.' || land || '.example', 'other' from l where n_nationkey > 12),
+      m as (select s_suppkey, 'sub' || (s_suppkey % 3) || case when s_suppkey % 7 = 0 then 'not' else '.' end || land || '.example' as d from supplier join l on s_nationkey = n_nationkey)
+      select s_suppkey, case when count(distinct tenant) = 1 then min(tenant) end as tenant, count(distinct tenant) > 1 as ambiguous from m left join c on d = claim or ends_with(d, '.' || claim) group by 1""",
+    "set01_set_operations": """with w as (select conv_id, list_distinct(flatten(list(string_split(coalesce(text, ''), ' ')) filter (role = 'user'))) as a, list_distinct(flatten(list(string_split(coalesce(text, ''), ' ')) filter (role = 'assistant'))) as b from conversations where role <> 'system' group by 1),
+      n as (select conv_id, coalesce(a, []) as a, coalesce(b, []) as b from w) select conv_id, len(list_intersect(a, b))::bigint as common, len(list_distinct(a || b))::bigint as either, (len(a) - len(list_intersect(a, b)))::bigint as missing from n""",
     "set01_whole_texts": """select doc_id, len(list_intersect(a, b))::int as common, len(list_distinct(a || b))::int as either, (len(a) - len(list_intersect(a, b)))::int as missing
       from (select doc_id, list_distinct(w[1:len(w) // 2]) as a, list_distinct(w[len(w) // 2 + 1:len(w)]) as b from (select doc_id, string_split(coalesce(text, ''), ' ') as w from documents))""",
     "set04_union_by_precedence": """select user_id, layer::int as layer, event_id from (select *, row_number() over (partition by user_id order by layer, event_id) as n

@@ -19,7 +19,7 @@ def _titled(spark: SparkSession, sf: str) -> DataFrame:
 def job_search(spark: SparkSession, sf: str) -> DataFrame:
     every, score = S.relevance("red bolt", "p_name", "document")
     found = _titled(spark, sf).where(every & (F.col("p_size") <= 40)).withColumn("score", score.cast("long"))
-    rows, _, _ = S.page(found, [F.desc("score"), F.length("p_name"), F.desc("p_retailprice"), F.asc("p_partkey")], 0, 20)
+    rows = S.page(found, [F.desc("score"), F.length("p_name"), F.desc("p_retailprice"), F.asc("p_partkey")], 0, 20)
     return rows.select("p_partkey", "p_name", "score", "p_retailprice")
 
 
@@ -42,13 +42,19 @@ def lenient_enum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recency(spark: SparkSession, sf: str) -> DataFrame:
-    orders = read(spark, sf, "orders").withColumn("posted", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")))
+    """Orders by their day or, for those that are open and so have none yet, by the day of their first shipment."""
+    shipped = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first_shipped"))
+    orders = read(spark, sf, "orders").withColumn("posted", F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate"))).join(shipped, "o_orderkey", "left")
     cutoff = F.lit("1997-06-01").cast("timestamp_ntz")
-    return orders.where(S.since("posted", "o_orderdate", cutoff)).select("o_orderkey")
+    return orders.where(S.since("posted", "first_shipped", cutoff)).select("o_orderkey")
 
 
 def fail_closed(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "customer").where(S.all_of([F.lit(False)])).select("c_custkey")
+    """Customers in a segment that their nation is granted; a nation that is granted none sees none."""
+    people = read(spark, sf, "customer")
+    granted = people.where("c_acctbal > 9900").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("granted"))
+    rows = people.join(granted, "c_nationkey", "left").withColumn("granted", F.coalesce("granted", F.array().cast("array<string>")))
+    return rows.where(F.array_contains("granted", F.col("c_mktsegment"))).select("c_custkey")
 
 
 def scoped(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,14 +82,16 @@ def all_skills(spark: SparkSession, sf: str) -> DataFrame:
 
 def named_sorts(spark: SparkSession, sf: str) -> DataFrame:
     orders = read(spark, sf, "orders")
-    newest, _, _ = S.page(orders, [F.desc("o_orderdate"), F.asc("o_orderkey")], 1, 25)
-    dearest, _, _ = S.page(orders, [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], 0, 25)
+    newest = S.page(orders, [F.desc("o_orderdate"), F.asc("o_orderkey")], 1, 25)
+    dearest = S.page(orders, [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], 0, 25)
     return newest.select(F.lit("newest").alias("sort"), "o_orderkey").unionAll(dearest.select(F.lit("price"), "o_orderkey"))
 
 
 def paging(spark: SparkSession, sf: str) -> DataFrame:
-    rows, total, pages = S.page(read(spark, sf, "supplier"), [F.asc("s_suppkey")], -3, 7)
-    return rows.select("s_suppkey", F.lit(total).cast("long").alias("total"), F.lit(pages).cast("long").alias("pages"))
+    """A page and, beside it, how many rows and pages there are: scalar subqueries, found when the page is."""
+    suppliers = read(spark, sf, "supplier")
+    sizes = S.pages_of(suppliers, 7)
+    return S.page(suppliers, [F.asc("s_suppkey")], -3, 7).select("s_suppkey", sizes.select("total").scalar().alias("total"), sizes.select("pages").scalar().alias("pages"))
 
 
 def correlated_sort(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,8 +157,8 @@ ORACLE_SQL = {
     "flt03_contains_any": "select p_partkey, p_name from part where contains(lower(p_name), 'red') or contains(lower(p_type), 'red')",
     "flt04_escaped_like": "select c_custkey, c_name from customer where contains(lower(c_name), 'r#0000000_1') or contains(c_name, '00012')",
     "flt05_lenient_enum": "select o_orderstatus, count(*) as n from orders where o_orderstatus in ('O', 'F') group by 1",
-    "flt07_recency_fallback": "select o_orderkey from orders where o_orderdate > timestamp '1997-06-01'",
-    "flt08_fail_closed": "select c_custkey from customer where false",
+    "flt07_recency_fallback": "select o_orderkey from orders left join (select l_orderkey, min(l_shipdate) as s from lineitem group by 1) on l_orderkey = o_orderkey where coalesce(case when o_orderstatus <> 'O' then o_orderdate end, s) > timestamp '1997-06-01'",
+    "flt08_fail_closed": "select c_custkey from customer a where exists (select 1 from customer b where b.c_acctbal > 9900 and b.c_nationkey = a.c_nationkey and b.c_mktsegment = a.c_mktsegment)",
     "flt10_scope": """select c_custkey, c_nationkey from customer join nation on c_nationkey = n_nationkey
       where n_regionkey = 3 or (n_regionkey = 1 and c_nationkey = 2 and c_mktsegment = 'BUILDING') or (n_regionkey = 1 and c_nationkey = 3)
       or (n_regionkey = 2 and c_nationkey = 8 and c_mktsegment = 'MACHINERY')""",

@@ -9,6 +9,7 @@ from siltstone.functions import numbers as N
 from siltstone.functions import scoring as S
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
+from siltstone.sources import feeds
 from siltstone.sources.tables import read
 
 
@@ -38,8 +39,10 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mail_domains(spark: SparkSession, sf: str) -> DataFrame:
-    given = spark.createDataFrame([(1, "B.org, @a.example.com,b.org"), (2, "https://x.org/y, a@b.org"), (3, "")], "id int, domains string")
-    return given.select("id", T.clean_domains(F.col("domains")).alias("domains"))
+    """Lists of domains as people write them: addresses, capitals, repeats, a path among them."""
+    name = F.replace("s_name", F.lit("#"), F.lit("-"))
+    said = F.concat(name, F.lit(".Org, @b.example.com,"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("https://x.org/y, "), name, F.lit(".org"))).otherwise("a@b.org,,c d.org"))
+    return read(spark, sf, "supplier").select("s_suppkey", T.clean_domains(said).alias("domains"))
 
 
 def naturally(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,17 +51,23 @@ def naturally(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"), U.host(F.col("url")).alias("host"))
+    """Addresses as they are, without a scheme in capitals, and with what follows a visitor."""
+    typed = [F.col("url"), F.concat(F.lit("\t"), F.upper(F.regexp_replace(F.split(F.split("url", "#")[0], r"\?")[0], "^https?://", ""))), F.concat(F.split(F.split("url", "#")[0], r"\?")[0], F.lit("?utm_source=x&B=%20&Z=2&ref=y&a=1#top"))]
+    rows = read(spark, sf, "pages").select("page_id", F.posexplode(F.array(*typed)).alias("form", "typed"))
+    return rows.select("page_id", "form", U.normalize_url(F.col("typed")).alias("url"), U.host(F.col("typed")).alias("host"))
 
 
 def instants(spark: SparkSession, sf: str) -> DataFrame:
-    given = spark.createDataFrame([("2026-08-24T09:00:00Z",), ("2026-08-24T09:00:00+05:30",), ("2026-08-24 09:00:00 UTC",), ("2026-08-24",), ("soon",), (None,)], "given string")
-    return given.select("given", F.unix_seconds(N.lenient_instant(F.col("given"))).alias("seconds"))
+    """Times of events as feeds write them: with an offset, with Z, with UTC, as a day, not at all."""
+    day, at = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    shapes = [F.concat(day, F.lit("T"), at, F.lit("Z")), F.concat(day, F.lit("T"), at, F.lit("+05:30")), F.concat(day, F.lit(" "), at, F.lit(" UTC")), F.concat(day, F.lit("T00:00:00Z")), F.lit("soon"), F.lit(None).cast("string")]
+    given = F.element_at(F.array(*shapes), (F.col("event_id") % 6 + 1).cast("int"))
+    return read(spark, sf, "events").select("event_id", F.unix_seconds(N.lenient_instant(given)).alias("seconds"))
 
 
 def partial_dates(spark: SparkSession, sf: str) -> DataFrame:
-    given = spark.createDataFrame([("2020",), ("2020-05",), ("2020-05-17",), ("May",)], "given string")
-    return given.select("given", N.partial_date(F.col("given")).cast("string").alias("day"))
+    given = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in ("yyyy", "yyyy-MM", "yyyy-MM-dd", "MMM yyyy")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return read(spark, sf, "orders").select("o_orderkey", N.partial_date(given).cast("string").alias("day"))
 
 
 def business_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,12 +75,14 @@ def business_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def roundings(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "customer").select("c_custkey", N.round_half_up(F.col("c_acctbal")).alias("whole"), F.round(F.col("c_acctbal").cast("decimal(12,2)"), 1).cast("double").alias("tenth"))
+    return read(spark, sf, "customer").select("c_custkey", N.round_half_up(F.col("c_acctbal")).alias("whole"), N.scaled(F.col("c_acctbal"), 12, 1).cast("double").alias("tenth"))
 
 
 def pointers(spark: SparkSession, sf: str) -> DataFrame:
-    """Scalars as text, missing members as null."""
-    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.missing.name").alias("missing"))
+    """Scalars as text, an object by its name, an array's elements with commas, missing members as null."""
+    body = F.try_parse_json(F.concat(F.lit('{"a":[{"name":"'), "event_type", F.lit('"},'), F.col("user_id").cast("string"), F.lit('],"o":{"name":" x "},"p":'), "props", F.lit("}")))
+    pointed = {"k": "/p/k", "listed": "/a", "first": "/a/0", "named": "o", "missing": "/p/missing/name"}
+    return read(spark, sf, "events").select("event_id", body.alias("b")).select("event_id", *[feeds.coerced_at(F.col("b"), p).alias(k) for k, p in pointed.items()])
 
 
 def experience(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,15 +187,17 @@ ORACLE_SQL = {
     "str08_token_similarity": """select p_partkey, len(list_intersect(a, b)) / len(list_distinct(a || b)) as similarity from (select p_partkey, list_distinct(string_split(p_name, ' ')) as a, list_distinct(string_split('red ring ' || lower(p_type), ' ')) as b from part)""",
     "str09_mentions": "select p_partkey, list_contains(string_split(p_name, ' '), 'red') as term, contains(lower(replace(p_name || p_brand, ' ', '')), 'brand#1') as part from part",
     "str19_canonical_keys": "select p_partkey, trim(regexp_replace(lower(p_brand || '::' || p_name || '::any'), '[^a-z0-9]+', '-', 'g'), '-') as key, true as usable, false as unusable from part",
-    "str28_mail_domains": "select * from (values (1, 'a.example.com,b.org'), (2, ''), (3, '')) as t(id, domains)",
+    "str28_mail_domains": """select s_suppkey, case when s_suppkey % 2 = 0 then array_to_string(list_sort(['b.example.com', lower(replace(s_name, '#', '-')) || '.org']), ',') else array_to_string(list_sort(['b.example.com', lower(replace(s_name, '#', '-')) || '.org']), ',') end as domains from supplier""",
     "str29_join_naturally": """select c_nationkey, case len(s) when 1 then s[1] else array_to_string(s[:-2], ', ') || ' and ' || s[-1] end as sentence from (select c_nationkey, list_sort(list(distinct c_mktsegment)) as s from customer group by 1)""",
-    "url01_normalize": """select page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/$', '') || case when regexp_matches(url, '[?&]page=') then '?page=' || regexp_extract(url, '[?&]page=([^&#]*)', 1) else '' end as url,
-      regexp_extract(url, '://([^/]*)', 1) as host from pages""",
-    "dat01_instants": "select * from (values ('2026-08-24T09:00:00Z', 1787562000), ('2026-08-24T09:00:00+05:30', 1787542200), ('2026-08-24 09:00:00 UTC', 1787562000), ('2026-08-24', 1787529600), ('soon', null), (null, null)) as t(given, seconds)",
-    "dat05_partial_dates": "select * from (values ('2020', '2020-01-01'), ('2020-05', '2020-05-01'), ('2020-05-17', '2020-05-17'), ('May', null)) as t(given, day)",
+    "url01_normalize": """select page_id, 0 as form, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/$', '') || case when regexp_matches(url, '[?&]page=') then '?page=' || regexp_extract(url, '[?&]page=([^&#]*)', 1) else '' end as url,
+      regexp_extract(url, '://([^/]*)', 1) as host from pages
+      union all select page_id, 1, regexp_replace(lower(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^https?://', '')), '(.)/$', '\\1'), null from pages
+      union all select page_id, 2, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '(.)/$', '\\1') || '?a=1&b= &z=2', lower(regexp_extract(url, '://([^/:?#]*)', 1)) from pages""",
+    "dat01_instants": """select event_id, case event_id % 6 when 0 then epoch(date_trunc('second', ts)) when 1 then epoch(date_trunc('second', ts)) - 19800 when 2 then epoch(date_trunc('second', ts)) when 3 then epoch(date_trunc('day', ts)) end::bigint as seconds from events""",
+    "dat05_partial_dates": """select o_orderkey, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-01-01') when 1 then strftime(o_orderdate, '%Y-%m-01') when 2 then strftime(o_orderdate, '%Y-%m-%d') end as day from orders""",
     "dat04_business_days": "select (ts + interval 330 minutes)::date::varchar as day, count(*) as n from events group by 1",
     "num01_roundings": "select c_custkey, floor(c_acctbal + 0.5)::bigint as whole, round(c_acctbal::decimal(12,2), 1)::double as tenth from customer",
-    "jsn01_pointers": "select event_id, json_extract_string(props, '$.k') as k, null::varchar as missing from events",
+    "jsn01_pointers": """select event_id, json_extract_string(props, '$.k') as k, event_type || ', ' || user_id as listed, event_type as first, 'x' as named, null::varchar as missing from events""",
     "sco02_experience": """select c_custkey, case when least is null and most is null then null else floor(greatest(0, least(100, case when y < coalesce(least, 0) then 100 - 25 * (coalesce(least, 0) - y)
       when y > coalesce(most, 99) then 100 - 8 * (y - coalesce(most, 99)) else 100 end)) + 0.5)::bigint end as score
       from (select c_custkey, floor(c_acctbal / 500) as y, case when c_nationkey % 5 <> 0 then c_nationkey % 5 end as least, case when c_nationkey % 3 <> 0 then c_nationkey % 5 + 4 end as most from customer)""",

@@ -47,3 +47,14 @@ def test_streams_give_what_batches_give(spark, tiny, tmp_path):
         query.awaitTermination(120)
         expected = make(rows).select(*spark.table(name).columns)
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_null_and_long_keys_are_keys_like_others(spark):
+    """WIN-08, STR-S8: beside nulls, keys beyond 2 ** 53 stay apart, and events without a time are refused."""
+    big = 1 << 60
+    rows = [(None, f"2024-01-01 00:00:0{i}", i) for i in range(6)] + [(big + i % 2, f"2024-01-01 00:00:0{i}", 10 + i) for i in range(4)] + [(7, None, 20)]
+    df = spark.createDataFrame(rows, "k long, at string, i long").selectExpr("k", "cast(at as timestamp) at", "i")
+    taken = {r.i: r.accepted for r in A.sliding_window(df, "k", "at", "i", 1, 1_000).collect()}
+    assert [i for i, fine in sorted(taken.items()) if fine] == [0, 10, 11] and len(taken) == 11
+    waits = {r.i: r.wait for r in A.spacing(df, "k", "at", "i", 3, 4).collect()}
+    assert [waits[i] for i in range(3)] == [0.0, 2.0, 4.0] and waits[3] is None and waits[10] == waits[11] == 0.0 and waits[20] is None
