@@ -1,7 +1,7 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the columns of documents, or after the last one the
-pieces of packed sequences.
+pieces of packed sequences. Columns beside those of documents are kept, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,28 +13,31 @@ from siltstone.llm.common import doc_mod, table, written
 
 
 def keep_good_hosts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host passes."""
+    """Documents that pass the base rules and whose host passes; rows that repeat all stay. A null or empty text fails,
+    a document without a source is judged by the base rules alone."""
     return quality.keep(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labelled documents doesn't call toxic."""
+    """Documents that a model of the labelled documents doesn't call toxic; rows that repeat are judged alike. A null text
+    counts as empty."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), doc_mod("doc_id", 5) != 0)
     return toxicity.keep(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the least doc_id; of rows that repeat it, one. Null and empty
+    texts are copies of each other. Documents without an id stay, one of each text, where none of their class has one."""
     return simhash.keep_one(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
+    """All documents, rows that repeat too, with pseudonyms for personal data; a null text stays null."""
     return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences."""
+    """The documents' pieces in sequences; a null text is its end alone, rows that repeat are packed each."""
     return packing.pack(docs, packing.tokenizer_path())
 
 
