@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import SPACE, canonicalize, has_text, strip_html
@@ -142,15 +142,29 @@ def section(text: Column, headings: str) -> Column:
     return strip(F.split(rest, _HEADING, 2)[0])
 
 
-def normalized(title: Column, place: Column, html: Column, stated_mode: Column, stated_type: Column, stated_pay: Column) -> Column:
-    """All fields of a posting as one struct; lengths are those that the fields are stored with."""
-    name, description = strip(title), strip_html(html)
-    everything, where, years, pay = haystack(name, place, description), location(place), experience(description), salary(F.coalesce(stated_pay, description))
+#: The fields of a posting, in order.
+FIELDS = [
+    "title", "normalized_title", "description", "responsibilities", "requirements", "location_raw", "city", "region", "country", "work_mode", "employment_type", "seniority",
+    "min_experience", "max_experience", "salary_min", "salary_max", "salary_currency", "salary_period",
+]
+
+
+def with_fields(rows: DataFrame, title: Column, place: Column, html: Column, stated_mode: Column, stated_type: Column, stated_pay: Column) -> DataFrame:
+    """The columns of `rows` and FIELDS, in place of columns of these names; lengths are those that fields are stored with.
+
+    What several fields are made of is found once, before them: an array of it is exploded, which neither filters nor
+    projections are moved below, where they would bring copies of it along."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in FIELDS]
+    given = F.struct(strip(title).alias("name"), strip_html(html).alias("text"), location(place).alias("where"), stated_mode.alias("mode"), stated_type.alias("type"), stated_pay.alias("pay"))
+    held = rows.select(*kept, F.explode(F.array(given)).alias("__g"))
+    name, text, where = F.col("__g.name"), F.col("__g.text"), F.col("__g.where")
+    told = F.struct(haystack(name, where["raw"], text).alias("all"), experience(text).alias("years"), salary(F.coalesce(F.col("__g.pay"), text)).alias("pay"))
+    held = held.select(*kept, "__g", F.explode(F.array(told)).alias("__t"))
+    everything, years, pay = F.col("__t.all"), F.col("__t.years"), F.col("__t.pay")
     fields = {
-        "title": F.substring(name, 1, 300), "normalized_title": F.substring(normalized_title(name), 1, 200), "description": description, "responsibilities": section(description, DUTIES),
-        "requirements": section(description, WANTED), "location_raw": F.substring(where["raw"], 1, 300), "city": F.substring(where["city"], 1, 120), "region": F.substring(where["region"], 1, 120),
-        "country": F.substring(where["country"], 1, 120), "work_mode": work_mode(stated_mode, name, where["raw"], everything), "employment_type": employment_type(stated_type, everything),
-        "seniority": seniority(name, everything), "min_experience": years["least"], "max_experience": years["most"],
-        "salary_min": pay["low"], "salary_max": pay["high"], "salary_currency": pay["currency"], "salary_period": pay["period"],
+        "title": F.substring(name, 1, 300), "normalized_title": F.substring(normalized_title(name), 1, 200), "description": text, "responsibilities": section(text, DUTIES), "requirements": section(text, WANTED),
+        "location_raw": F.substring(where["raw"], 1, 300), "city": F.substring(where["city"], 1, 120), "region": F.substring(where["region"], 1, 120), "country": F.substring(where["country"], 1, 120),
+        "work_mode": work_mode(F.col("__g.mode"), name, where["raw"], everything), "employment_type": employment_type(F.col("__g.type"), everything), "seniority": seniority(name, everything),
+        "min_experience": years["least"], "max_experience": years["most"], "salary_min": pay["low"], "salary_max": pay["high"], "salary_currency": pay["currency"], "salary_period": pay["period"],
     }
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+    return held.select(*kept, *[fields[k].alias(k) for k in FIELDS])

@@ -148,8 +148,8 @@ def _chosen(choices: list[str | None], number: Column) -> Column:
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
     k, n = F.col("k"), F.col("n")
-    fields = P.normalized(_chosen(TITLES, k + n), _chosen(PLACES, k * 3 + n), _chosen(TEXTS, k + 2 * n), _chosen(STATED, k + 3 * n), _chosen(TYPES, 2 * k + n), F.lit(None).cast("string"))
-    return _lines(spark, sf).select("k", "n", fields.alias("f")).select("k", "n", "f.*")
+    rows = P.with_fields(_lines(spark, sf), _chosen(TITLES, k + n), _chosen(PLACES, k * 3 + n), _chosen(TEXTS, k + 2 * n), _chosen(STATED, k + 3 * n), _chosen(TYPES, 2 * k + n), F.lit(None).cast("string"))
+    return rows.select("k", "n", *P.FIELDS)
 
 
 def _some(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
