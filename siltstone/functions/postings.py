@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import SPACE, canonicalize, has_text, strip_html
+from siltstone.functions.text import SPACE, canonicalize, has_text, once, strip_html
 
 #: What a title says beside the title, and how it is set off.
 NOISE = r"remote|hybrid|onsite|on-site|contract|full[ -]?time|part[ -]?time|urgent|hiring|immediate joiner|w2|c2c|[a-z]{2,3}\s*only|\d+\s*(?:openings?|positions?)"
@@ -64,19 +64,20 @@ def location(text: Column) -> Column:
 
     A code of two capitals at the end is a region, not a country; without a country, a last office without commas names
     it. A sign of remote work is no city."""
-    raw = strip(text)
-    offices = F.split(F.regexp_replace(raw, r"(?:\s*[•|;]\s*)+$", ""), r"\s*[•|;]\s*")
-    parts = F.split(F.regexp_replace(strip(offices[0]), r"(?:\s*,\s*)+$", ""), r"\s*,\s*")
-    n = F.size(parts)
-    last = F.when(n > 1, strip(F.element_at(parts, -1)))
-    region = F.coalesce(F.when(n > 2, strip(parts[1])), F.when(_region_code(last), last))
-    shared = strip(F.element_at(offices, -1))
-    shared = F.when((F.size(offices) > 1) & ~shared.contains(",") & ~_region_code(shared), shared)
-    country = F.coalesce(F.when(~_region_code(last), last), shared)
-    city = F.when(~F.lower(parts[0]).isin(REMOTE), strip(parts[0]))
-    anywhere = F.lower(raw).isin(REMOTE)
-    fields = {"raw": raw, "city": F.when(~anywhere, city), "region": F.when(~anywhere, region), "country": F.when(~anywhere, country)}
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def of_parts(raw: Column, offices: Column, parts: Column) -> Column:
+        last, shared = F.when(F.size(parts) > 1, F.element_at(parts, -1)), F.element_at(offices, -1)
+        code, anywhere = _region_code(last), F.lower(raw).isin(REMOTE)
+        region = F.when(F.size(parts) > 2, parts[1]).when(code, last)
+        country = F.when(~code, last).when((F.size(offices) > 1) & ~shared.contains(",") & ~_region_code(shared), shared)
+        fields = {"city": F.when(~F.lower(parts[0]).isin(REMOTE), parts[0]), "region": region, "country": country}
+        return F.struct(raw.alias("raw"), *[F.when(~anywhere & (v != ""), v).alias(k) for k, v in fields.items()])
+
+    def of_raw(raw: Column) -> Column:
+        offices = F.split(F.regexp_replace(raw, r"(?:\s*[•|;]\s*)+$", ""), r"\s*[•|;]\s*")
+        return once(offices, lambda o: once(F.split(F.regexp_replace(o[0], r"(?:\s*,\s*)+$", ""), r"\s*,\s*"), lambda parts: of_parts(raw, o, parts)))
+
+    return once(strip(text), of_raw)
 
 
 def haystack(title: Column, place: Column, description: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ _MARKED, _PLAIN = _folding()
 SPACE = r"[\s\x{85}\p{Z}]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with `value` found once for each row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(text: Column) -> Column:
     """Latin letters without their marks. Other scripts stay as they are."""
     return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}", "")
