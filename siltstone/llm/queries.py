@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "sharding", "language", "sentencepiece_codec", "neighbours", "simhash", "toxicity", "quality", "pii", "extraction", "spelling", "mining")
+MODULES = ("packing", "sharding", "language", "sentencepiece_codec", "neighbours", "simhash", "toxicity", "quality", "pii", "extraction", "spelling", "mining", "repeats")
 
 
 def queries() -> dict:
