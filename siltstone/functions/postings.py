@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import SPACE, canonicalize, has_text, once, strip_html
+from siltstone.functions.text import SPACE, canonicalize, has_text, once, strip_html, trimmed
 
 #: What a title says beside the title, and how it is set off.
 NOISE = r"remote|hybrid|onsite|on-site|contract|full[ -]?time|part[ -]?time|urgent|hiring|immediate joiner|w2|c2c|[a-z]{2,3}\s*only|\d+\s*(?:openings?|positions?)"
@@ -30,7 +30,9 @@ LEVELS = {
 #: Headings of two sections, and what any heading looks like.
 DUTIES = r"what you.{0,20}do|responsibilities|the role|your impact|about the role|key responsibilities|duties"
 WANTED = r"requirements|qualifications|what we.{0,20}looking for|who you are|skills|must have|your profile|what you bring"
-_HEADING = r"(?m)^\s*[A-Z][A-Za-z '/&]{3,40}\s*:?\s*$"
+#: White space within a line.
+_GAP = r"[ \t\x0B\f]*+"
+_HEADING = rf"(?m)^{_GAP}[A-Z][A-Za-z '/&]{{3,40}}{_GAP}:?{_GAP}$"
 _YEARS = r"(?:years?|yrs?)"
 _AMOUNT = r"([\d,]+(?:\.\d+)?)\s?(k)?"
 _PAY = rf"(?i)([$₹€£])\s?{_AMOUNT}\s*(?:-|to|–)\s*([$₹€£])?\s?{_AMOUNT}"
@@ -38,7 +40,7 @@ _PAY = rf"(?i)([$₹€£])\s?{_AMOUNT}\s*(?:-|to|–)\s*([$₹€£])?\s?{_AMOU
 
 def strip(text: Column) -> Column:
     """Without Unicode white space around it; null if nothing else is there."""
-    return F.when(has_text(text), F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.when(has_text(text), F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", ""))
 
 
 def has_any(text: Column, signs: list[str]) -> Column:
@@ -49,7 +51,7 @@ def has_any(text: Column, signs: list[str]) -> Column:
 def normalized_title(title: Column) -> Column:
     """For comparing: without markers of mode, contract or gender and without a trailing Roman numeral; the canonical title
     if nothing else is left, null for a blank one."""
-    plain = F.regexp_replace(title, rf"(?i)\s*[\(\[\-–|]\s*(?:{NOISE})\s*[\)\]]?\s*", " ")
+    plain = F.regexp_replace(title, rf"(?i)(?<!\s)\s*+[\(\[\-–|]\s*(?:{NOISE})\s*+[\)\]]?\s*+", " ")
     plain = canonicalize(F.regexp_replace(plain, rf"(?i)\b(?:{GENDERS})\b", " "))
     plain = F.trim(F.regexp_replace(plain, r"\b(?:i{1,3}|iv|v)\b$", ""))
     return F.when(has_text(title), F.when(plain == "", canonicalize(title)).otherwise(plain))
@@ -59,6 +61,12 @@ def _region_code(text: Column) -> Column:
     return text.rlike(r"^\p{Lu}{2}$")
 
 
+def _split(text: Column, signs: str) -> Column:
+    """The parts of a text between signs, without white space around them or signs at its end."""
+    ends = rf"(?<![\s{signs}])[\s{signs}]+$"
+    return F.transform(F.split(F.regexp_replace(text, ends, ""), f"[{signs}]"), lambda x: trimmed(x))
+
+
 def location(text: Column) -> Column:
     """A struct of raw, city, region and country, of the first of several offices.
 
@@ -74,8 +82,7 @@ def location(text: Column) -> Column:
         return F.struct(raw.alias("raw"), *[F.when(~anywhere & (v != ""), v).alias(k) for k, v in fields.items()])
 
     def of_raw(raw: Column) -> Column:
-        offices = F.split(F.regexp_replace(raw, r"(?:\s*[•|;]\s*)+$", ""), r"\s*[•|;]\s*")
-        return once(offices, lambda o: once(F.split(F.regexp_replace(o[0], r"(?:\s*,\s*)+$", ""), r"\s*,\s*"), lambda parts: of_parts(raw, o, parts)))
+        return once(_split(raw, "•|;"), lambda o: once(_split(o[0], ","), lambda parts: of_parts(raw, o, parts)))
 
     return once(strip(text), of_raw)
 
@@ -114,11 +121,20 @@ def _group(text: Column, pattern: str, group: int) -> Column:
 def experience(text: Column) -> Column:
     """A struct of least and most years: the first range, else the first `n+`, else the first `at least n`. A range that
     descends, and more than 40 years, count as nothing stated in that form."""
-    span, plus, floor = rf"(?i)(\d{{1,2}})\s*(?:-|to|–)\s*(\d{{1,2}})\s*\+?\s*{_YEARS}", rf"(?i)(\d{{1,2}})\s*\+\s*{_YEARS}", rf"(?i)(?:at least|minimum(?: of)?|min\.?)\s*(\d{{1,2}})\s*{_YEARS}"
-    low, high, n, m = (_group(text, p, g).cast("decimal(4,1)") for p, g in ((span, 1), (span, 2), (plus, 1), (floor, 1)))
-    whole = (low <= high) & (high <= 40)
-    least = F.when(whole, low).when(n <= 40, n).when(m <= 40, m)
-    return F.struct(least.alias("least"), F.when(whole, high).alias("most"))
+    span, plus, floor = rf"(\d{{1,2}})\s*+(?:-|to|–)\s*+(\d{{1,2}})\s*+\+?\s*+{_YEARS}", rf"(\d{{1,2}})\s*+\+\s*+{_YEARS}", rf"(?:at least|minimum(?: of)?|min\.?)\s*+(\d{{1,2}})\s*+{_YEARS}"
+
+    def found(low_text: Column) -> Column:
+        one = F.struct(F.regexp_substr(low_text, F.lit(span)).alias("a"), F.regexp_substr(low_text, F.lit(plus)).alias("b"), F.regexp_substr(low_text, F.lit(floor)).alias("c"))
+        return once(one, parts)
+
+    def parts(one: Column) -> Column:
+        low, high, n, m = (_group(one[k], p, g).cast("decimal(4,1)") for k, p, g in (("a", span, 1), ("a", span, 2), ("b", plus, 1), ("c", floor, 1)))
+        whole = (low <= high) & (high <= 40)
+        least = F.when(whole, low).when(n <= 40, n).when(m <= 40, m)
+        return F.struct(least.alias("least"), F.when(whole, high).alias("most"))
+
+    none = F.struct(F.lit(None).cast("decimal(4,1)").alias("least"), F.lit(None).cast("decimal(4,1)").alias("most"))
+    return once(F.lower(text), lambda low: F.when(has_any(low, ["year", "yr"]), found(low)).otherwise(none))
 
 
 def _money(digits: Column, thousands: Column) -> Column:
@@ -128,19 +144,30 @@ def _money(digits: Column, thousands: Column) -> Column:
 
 def salary(text: Column) -> Column:
     """A struct of low, high, currency and period, from the first range of amounts; nulls if it descends or there is none."""
-    low, high = (_money(_group(text, _PAY, a), _group(text, _PAY, k)) for a, k in ((2, 3), (5, 6)))
-    sign, said = _group(text, _PAY, 1), F.lower(text)
-    currency = F.when(sign == "$", "USD").when(sign == "₹", "INR").when(sign == "€", "EUR").when(sign == "£", "GBP")
-    period = F.when(has_any(said, ["per hour", "/hr", "hourly"]), "HOURLY").when(has_any(said, ["per month", "/month"]), "MONTHLY").otherwise("ANNUAL")
-    fields = {"low": low, "high": high, "currency": currency, "period": period}
-    return F.struct(*[F.when(low <= high, v).alias(k) for k, v in fields.items()])
+
+    def of_span(span: Column) -> Column:
+        low, high = (_money(_group(span, _PAY, a), _group(span, _PAY, k)) for a, k in ((2, 3), (5, 6)))
+        sign = F.substring(span, 1, 1)
+        currency = F.when(sign == "$", "USD").when(sign == "₹", "INR").when(sign == "€", "EUR").when(sign == "£", "GBP")
+        return once(F.struct(low.alias("low"), high.alias("high"), currency.alias("currency")), in_order)
+
+    def in_order(pay: Column) -> Column:
+        said = F.lower(text)
+        period = F.when(has_any(said, ["per hour", "/hr", "hourly"]), "HOURLY").when(has_any(said, ["per month", "/month"]), "MONTHLY").otherwise("ANNUAL")
+        fields = {"low": pay["low"], "high": pay["high"], "currency": pay["currency"], "period": period}
+        return F.struct(*[F.when(pay["low"] <= pay["high"], v).alias(k) for k, v in fields.items()])
+
+    return once(F.when(has_any(text, ["$", "₹", "€", "£"]), F.regexp_substr(text, F.lit(_PAY))), of_span)
 
 
 def section(text: Column, headings: str) -> Column:
     """The text below the first heading of a kind, up to the next line that looks like a heading; null if there is none."""
-    parts = F.split(text, rf"(?im)^\s*(?:{headings})\s*:?\s*$", 2)
+    heading = rf"(?im)^{_GAP}(?:{headings}){_GAP}:?{_GAP}$"
+    parts = F.split(text, heading, 2)
     rest = F.when(F.size(parts) > 1, F.substring(parts[1], F.lit(2), F.length(parts[1])))
-    return strip(F.split(rest, _HEADING, 2)[0])
+    found = once(rest, lambda x: strip(F.split(x, _HEADING, 2)[0]))
+    # A heading has a line of its own, so a text in one line has no text below one.
+    return F.when(text.contains("\n") | text.contains("\r"), found)
 
 
 #: The fields of a posting, in order.

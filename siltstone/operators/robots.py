@@ -6,14 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.postings import strip
+from siltstone.functions.text import once
 
 
 def pattern_of(rule: Column) -> Column:
-    """A rule's path as a regular expression: a star is anything, a dollar at the end is the end, all else is itself."""
+    """A rule's path as a regular expression: a star is anything, a dollar at the end is the end, all else is itself.
+
+    What follows a star is taken at the first place that has it and isn't tried at later ones, as that loses no match;
+    only what must be at the end is sought from there. So a rule of many stars takes no longer than its path has places."""
     ends = rule.endswith("$")
     plain = F.when(ends, F.substring(rule, F.lit(1), F.length(rule) - 1)).otherwise(rule)
-    parts = F.transform(F.split(plain, r"\*"), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E")))
-    return F.concat(F.lit("^"), F.array_join(parts, ".*"), F.when(ends, "$").otherwise(""))
+    parts = F.transform(F.split(plain, r"\*"), lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}/_])", r"\\$1"))
+
+    def joined(parts: Column) -> Column:
+        last = F.when(ends & (F.size(parts) > 1), F.concat(F.lit(".*"), F.element_at(parts, -1))).otherwise("")
+        between = F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - F.when(ends, 2).otherwise(1)))
+        taken = F.array_join(F.transform(between, lambda x: F.concat(F.lit("(?>.*?"), x, F.lit(")"))), "")
+        return F.concat(F.lit("(?s)^"), parts[0], taken, last, F.when(ends, "$").otherwise(""))
+
+    return once(parts, joined)
 
 
 def rules(bodies: DataFrame, agent: str) -> DataFrame:
