@@ -174,6 +174,8 @@ QUERIES = {
     "dml03_guarded_rename": guarded_rename,
 }
 _STEPS = "select event_id, lag(event_type) over (partition by user_id order by ts, event_id) as from_state, event_type as to_state from events"
+#: Events of a user in order; what depends on the ones admitted before follows them one by one.
+_TIMED = "with recursive ev as (select user_id, event_id, epoch_us(ts) as tm, row_number() over (partition by user_id order by ts, event_id) as n from events), "
 _OLD = "select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice, lower(o_orderpriority) as o_orderpriority from orders"
 _NEW = f"""select o_orderkey, o_custkey, case when o_orderkey % 9 = 0 then 'X' else o_orderstatus end as o_orderstatus,
   case when o_orderkey % 6 = 0 then null when o_orderkey % 15 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, upper(o_orderpriority) as o_orderpriority from ({_OLD}) where o_orderkey % 3 = 0"""
@@ -191,6 +193,14 @@ ORACLE_SQL = {
     "win09_monotone_times": """select event_id, max(t - k) over (partition by user_id order by event_id) + k as micros from (
       select user_id, event_id, epoch_us(date_trunc('hour', ts)) as t, row_number() over (partition by user_id order by event_id) as k from events)""",
     "win11_repeated_in_file": "select event_id from (select event_id, row_number() over (partition by user_id, event_type order by event_id) as n from events where value > 5) where n > 1",
+    "win08_sliding_admission": _TIMED + f"""q as (select distinct user_id, 0::bigint as n, null::bigint as event_id, []::bigint[] as taken, null::boolean as accepted from events
+      union all select user_id, n, event_id, case when len(held) < 3 then list_append(held, tm) else held end, len(held) < 3
+      from (select e.user_id, e.n, e.event_id, e.tm, list_filter(q.taken, lambda t: t > e.tm - 86400000000) as held from q join ev e on e.user_id = q.user_id and e.n = q.n + 1))
+      select user_id, event_id, accepted from q where n > 0""",
+    "strs8_minimum_spacing": _TIMED + """q as (select distinct user_id, 0::bigint as n, null::bigint as event_id, 0::bigint as free, null::double as wait from events
+      union all select user_id, n, event_id, case when late <= 10800000000 then tm + late + 7200000000 else free end, case when late <= 10800000000 then late / 1e6 end
+      from (select e.user_id, e.n, e.event_id, e.tm, q.free, greatest(0, q.free - e.tm) as late from q join ev e on e.user_id = q.user_id and e.n = q.n + 1))
+      select user_id, event_id, wait from q where n > 0""",
     "strs4_idempotent_publish": "select distinct user_id, event_type from events",
     "ext_tumbling_counts": "select time_bucket(interval 6 hours, ts, timestamp '2024-01-01')::varchar as start, event_type, count(*) as n from events group by 1, 2",
     "snk01_upsert": f"""with o as ({_OLD}), n as ({_NEW}) select o_orderkey, o_orderstatus, o_totalprice from n
