@@ -77,11 +77,12 @@ def _lever_description(item: Column) -> Column:
 @dataclass(frozen=True)
 class Board:
     """Where the items are, and how fields are read from an item; `source` is the name that the feed is registered under,
-    `body` the whole of it."""
+    `body` the whole of it. With `lists`, items hold arrays of postings at that path rather than being them."""
 
     items: str
     fields: Callable[[Column, Column, Column], dict[str, Column]]
     keep: Callable[[Column], Column] = lambda item: F.lit(True)
+    lists: str | None = None
 
 
 def _greenhouse(x: Column, source: Column, body: Column) -> dict[str, Column]:
@@ -140,6 +141,13 @@ def _breezy(x: Column, source: Column, body: Column) -> dict[str, Column]:
     }
 
 
+def _oracle_hcm(x: Column, source: Column, body: Column) -> dict[str, Column]:
+    return {
+        "external_id": text_at(x, "$.Id"), "title": text_at(x, "$.Title"), "company_name": source, "location_text": text_at(x, "$.PrimaryLocation"), "description_html": text_at(x, "$.ShortDescriptionStr"),
+        "employment_type_text": text_at(x, "$.JobType"), "work_mode_text": text_at(x, "$.WorkplaceType"), "department_text": text_at(x, "$.JobFamily"), "posted_at": instant_at(x, "$.PostedDate"),
+    }
+
+
 def _sample(x: Column, source: Column, body: Column) -> dict[str, Column]:
     names = {
         "external_id": "externalId", "requisition_id": "requisitionId", "title": "title", "company_name": "companyName", "location_text": "location", "description_html": "description",
@@ -156,6 +164,7 @@ BOARDS = {
     "smartrecruiters": Board("$.content", _smartrecruiters),
     "workable": Board("$.jobs", _workable),
     "breezy": Board("$", _breezy),
+    "oracle-hcm": Board("$.items", _oracle_hcm, lists="$.requisitionList"),
     "sample": Board("$.jobs", _sample),
 }
 
@@ -197,24 +206,37 @@ def configured(items: str | None, pointers: dict[str, str], templates: dict[str,
     return Board(json_path(items) if items else "$", fields)
 
 
-def _items(bodies: DataFrame, board: Board, body: str, source: str) -> DataFrame:
-    held = bodies.select(F.col(source).alias("source"), F.try_parse_json(F.col(body)).alias("body"))
-    return held.withColumn("items", F.when(F.schema_of_variant(F.try_variant_get("body", board.items, "variant")).startswith("ARRAY"), F.try_variant_get("body", board.items, "array<variant>")))
+def _array(value: Column, path: str) -> Column:
+    """The array at a path; null if something else is there."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")).startswith("ARRAY"), F.try_variant_get(value, path, "array<variant>"))
+
+
+def with_items(bodies: DataFrame, board: Board, body: str = "body", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """source, the columns `carry`, body as VARIANT and items, which are null if the body can't be read.
+
+    Where postings are in lists, no list in any item can't be read either; no item at all is no posting."""
+    held = bodies.select(F.col(source).alias("source"), *carry, F.try_parse_json(F.col(body)).alias("body"))
+    items = _array(F.col("body"), board.items)
+    if board.lists:
+        lists = F.filter(F.transform(items, lambda x: _array(x, board.lists)), lambda x: x.isNotNull())
+        items = F.when((F.size(items) == 0) | (F.size(lists) > 0), F.flatten(lists))
+    return held.withColumn("items", items)
 
 
-def postings(bodies: DataFrame, board: Board, most: int | None = None, body: str = "body", source: str = "source") -> DataFrame:
-    """Rows of source and FIELDS, those of the first `most` items of each body that the board keeps and that have an id.
+def postings(bodies: DataFrame, board: Board, most: int | Column | None = None, body: str = "body", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of source and FIELDS, those of the first `most` items of each body that the board keeps and that have an id,
+    and the columns `carry` of the bodies, which may tell `most`, too.
 
     Fields that the board doesn't tell are null. Bodies that repeat give their postings again; an empty table gives no rows."""
-    held = _items(bodies, board, body, source)
+    held = with_items(bodies, board, body, source, carry)
     item = F.col("item")
     made = board.fields(item, F.col("source"), F.col("body"))
     whole = held.withColumn("items", F.filter("items", lambda x: made_id(board, x) & board.keep(x)))
     if most is not None:
-        whole = whole.withColumn("items", F.slice("items", 1, most))
+        whole = whole.withColumn("items", F.slice("items", F.lit(1), F.lit(most) if isinstance(most, int) else most))
     kinds = {k: "timestamp" if k in INSTANTS else "string" for k in FIELDS}
     columns = [made.get(k, F.lit(None)).cast(kinds[k]).alias(k) for k in FIELDS]
-    return whole.select("source", "body", F.explode("items").alias("item")).select("source", *columns, F.to_json("item").alias("raw_payload"))
+    return whole.select("source", *carry, "body", F.explode("items").alias("item")).select("source", *carry, *columns, F.to_json("item").alias("raw_payload"))
 
 
 def made_id(board: Board, item: Column) -> Column:
@@ -225,4 +247,4 @@ def made_id(board: Board, item: Column) -> Column:
 def unreadable(bodies: DataFrame, board: Board, body: str = "body", source: str = "source") -> DataFrame:
     """The sources of bodies that are no JSON or don't have the board's array, and why."""
     why = F.when(F.col("body").isNull(), "not JSON").otherwise("no array of postings")
-    return _items(bodies, board, body, source).where("items is null").select("source", why.alias("problem"))
+    return with_items(bodies, board, body, source).where("items is null").select("source", why.alias("problem"))
