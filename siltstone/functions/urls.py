@@ -89,6 +89,11 @@ def board_of(text: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(first["provider"].alias("provider"), first["token"].alias("token")))
 
 
+def is_board(url: Column) -> Column:
+    """Whether an address is one of a known board's own."""
+    return F.coalesce(url.rlike("(?i)^https?://(?:" + "|".join(BOARD_HOSTS.values()) + ")"), F.lit(False))
+
+
 def is_job_page(url: Column) -> Column:
     return F.coalesce(_part(url, "PATH").rlike(_JOB_PATH), F.lit(False))
 

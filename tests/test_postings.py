@@ -97,18 +97,6 @@ def test_robots(spark):
     assert other["a", "/x"] == "ALLOWED" and other["a", "/p.q"] == "ALLOWED"
 
 
-def test_json_ld(spark):
-    block = '<script type="application/ld+json">{}</script>'
-    pages = [
-        (1, block.replace("{}", json.dumps({"@graph": [{"@type": ["Thing", "JobPosting"], "title": "T", "identifier": "7", "jobLocation": {"address": {"addressLocality": "Bari"}}}, {"@type": "Person"}]})), "u"),
-        (2, block.replace("{}", "nonsense") + block.replace("{}", json.dumps([{"@type": "JobPosting", "title": "A"}, {"@type": "JobPosting", "title": "A"}])), "https://x.example/2"),
-        (3, "<!-- " + block.replace("{}", '{"@type":"JobPosting"}') + " -->", "u"),
-        (4, None, None),
-    ]
-    rows = jsonld.postings(spark.createDataFrame(pages, "page_id long, html string, url string")).collect()
-    assert sorted((r.page_id, r.external_id, r.title, r.location_text) for r in rows) == [(1, "7", "T", "Bari"), (2, "https://x.example/2", "A", None)]
-
-
 def test_addresses(spark):
     given = ["HTTPS://A.example.com:8/x/?q=1#f", "a.example.com/x", "ftp://a.b", "http://a.com/", "http://localhost/x", None]
     assert values(spark, given, U.canonical_url) == ["https://a.example.com:8/x?q=1", None, None, "http://a.com/", "http://localhost/x", None]
