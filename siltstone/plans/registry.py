@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search_plans", "rollup_plans", "history_plans", "text_plans", "posting_plans", "record_plans", "match_plans", "web_plans", "skill_plans", "queue_plans", "source_plans")
+MODULES = ("search_plans", "rollup_plans", "history_plans", "text_plans", "posting_plans", "record_plans", "match_plans", "web_plans", "skill_plans", "queue_plans", "source_plans", "resume_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
