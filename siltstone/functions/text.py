@@ -84,6 +84,12 @@ def _decoded(text: Column) -> Column:
     return trimmed(F.regexp_replace(out, "\n{3,}", "\n\n"), "".join(map(chr, range(33))))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON in one form: names in order at every depth, numbers without needless digits, no white space; null for what is
+    no JSON, names that repeat among it."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def tokens(text: Column) -> Column:
     """The distinct canonical tokens; a text of punctuation alone has the empty token."""
     return F.array_distinct(F.split(canonicalize(text), " "))

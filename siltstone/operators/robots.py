@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.postings import strip
 from siltstone.functions.text import once
+from siltstone.sources.tables import bounded
 
 
 def pattern_of(rule: Column) -> Column:
@@ -48,6 +49,22 @@ def rules(bodies: DataFrame, agent: str) -> DataFrame:
     return by.select("host", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("every")).alias("rules"))
 
 
+#: Bytes of a robots.txt that are read; the rest is passed over.
+MOST_BYTES = 512 * 1024
+
+
+def published(answers: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """host, status, body, truncated and state of answers (host, status, body as bytes or text) for robots.txt.
+
+    Of a body the first `most` bytes count. A status from 400 says NOT_PUBLISHED, one from 500, and no answer at all,
+    UNAVAILABLE; their bodies aren't read. READ bodies are what `verdicts` takes."""
+    held = answers.select("host", "status", F.col("body").cast("binary").alias("body"))
+    text, more = bounded("body", most)
+    state = F.when(F.col("status").between(400, 499), "NOT_PUBLISHED").when(F.col("status").isNull() | (F.col("status") >= 500) | F.col("body").isNull(), "UNAVAILABLE").otherwise("READ")
+    read = state == "READ"
+    return held.select("host", "status", F.when(read, text).alias("body"), (read & more).alias("truncated"), state.alias("state"))
+
+
 def verdicts(bodies: DataFrame, paths: DataFrame, agent: str) -> DataFrame:
     """host, path, verdict and rule for each row of `paths` (host, path). `bodies` has one row a host: host, status, body.
 

@@ -289,10 +289,14 @@ def count_maps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sorted_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects with their keys in order: as maps, whose entries are sorted."""
-    rows = read(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_regionkey").cast("string").alias("z"), F.col("n_name").alias("a"), F.lit("x").alias("m"))).alias("body"))
-    entries = F.array_sort(F.map_entries(F.from_json("body", "map<string,string>")))
-    return rows.select("n_nationkey", F.to_json(F.map_from_entries(entries)).alias("canonical"))
+    """Bodies of events, nested and in three orders of names, in one form."""
+    k = F.col("event_id")
+    inner = F.when(k % 2 == 0, F.lit('{"b": [1.0, {"y": 2.50, "x": null}, []], "a": "é\\u00e9"}')).otherwise('{"a":"\\u00e9é" , "b":[1,{"x":null,"y":25e-1},[ ]]}')
+    kind = F.concat(F.lit('"event_type": "'), "event_type", F.lit('"'))
+    parts = [F.concat(F.lit('"z": '), inner), F.concat(F.lit('"props": '), "props"), kind]
+    body = F.when(k % 3 == 0, F.concat_ws(", ", *parts)).when(k % 3 == 1, F.concat_ws(",", *parts[::-1])).otherwise(F.concat_ws(" , ", parts[1], parts[2], parts[0]))
+    body = F.when(k % 10 == 9, "no json").otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    return read(spark, sf, "events").select("event_id", T.canonical_json(body).alias("canonical"))
 
 
 def to_json_or_default(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +362,7 @@ def anonymised(spark: SparkSession, sf: str) -> DataFrame:
 
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that no line refers to, older than the newest day of work."""
-    used = read(spark, sf, "lineitem").where(F.col("l_quantity") > 30).select(F.col("l_partkey").alias("p_partkey"))
+    used = read(spark, sf, "lineitem").where("l_quantity > 48 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
     return read(spark, sf, "part").where("p_size > 5").join(used, "p_partkey", "left_anti").select("p_partkey")
 
 
@@ -535,7 +539,7 @@ ORACLE_SQL = {
     "num04_completeness": "select c_custkey, least(100, 10 * ((c_acctbal > 0)::int + (c_acctbal > 2000)::int + (c_acctbal > 4000)::int + (c_mktsegment = 'BUILDING')::int + (c_nationkey > 5)::int + (c_nationkey > 15)::int + (o > 0)::int) + 5 * ((o > 12)::int + (c_acctbal > 8000)::int) + case when o >= 8 then 20 when o >= 3 then 12 when o > 0 then 6 else 0 end)::bigint as completeness from (select c_custkey, any_value(c_acctbal) as c_acctbal, any_value(c_mktsegment) as c_mktsegment, any_value(c_nationkey) as c_nationkey, count(o_orderkey) as o from customer left join orders on o_custkey = c_custkey group by 1)",
     "arr01_list_functions": "select l_orderkey, count(*) filter (q > 20) as large, bool_or(q = 7) as seven, max(q) as most, array_to_string(list_transform((list(q order by q))[1:2], lambda x: x * 2), ',') as least_twice from (select l_orderkey, l_quantity::int as q from lineitem) group by 1",
     "map01_count_maps": "select user_id, '{' || string_agg('\"' || t || '\":' || n, ',' order by t) || '}' as counts from (select user_id, t, count(event_type) as n from (select distinct user_id from events) cross join (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as t) left join events e using (user_id) where true and (e.event_type = t) group by 1, 2 union all select u.user_id, t, 0 from (select distinct user_id from events) u cross join (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as t) where not exists (select 1 from events e where e.user_id = u.user_id and e.event_type = t)) group by 1",
-    "jsn02_sorted_json": "select n_nationkey, '{\"a\":\"' || n_name || '\",\"m\":\"x\",\"z\":\"' || n_regionkey || '\"}' as canonical from nation",
+    "jsn02_sorted_json": """select event_id, case when event_id % 10 <> 9 then '{"event_type":"' || event_type || '","props":' || replace(props, ' ', '') || ',"z":{"a":"éé","b":[1,{"x":null,"y":2.5},[]]}}' end as canonical from events""",
     "jsn03_to_json": "select c_custkey, case when c_acctbal > 0 then '{\"id\":' || c_custkey || ',\"segment\":\"' || c_mktsegment || '\"}' else '{}' end as body from customer",
     "dom03_ladder_distance": f"{_POSTED} select seniority, count(*) as n, abs({_LADDER} - 4)::bigint as distance, case abs({_LADDER} - 4) when 0 then 100 when 1 then 80 when 2 then 55 when 3 then 25 end::bigint as score from f group by 1",
     "chg02_lifecycle": "select case when was = 0 then 'CREATED' when now = 0 then 'CLOSED' when now > was then 'NEW_SOURCE_OBSERVED' else 'SEEN' end as kind, count(*) as n from (select o_custkey, count(*) filter (o_orderdate < timestamp '1996-01-01') as was, count(*) filter (o_orderdate >= timestamp '1995-06-01') as now from orders group by 1) group by 1",
@@ -543,7 +547,7 @@ ORACLE_SQL = {
     "stm02_placement_steps": f"{_told(_RING, 6)} select before, after, actor, count(*) as n, case actor when 'STAFF' then (before, after) in (('SHORTLISTED', 'INVITED'), ('SHORTLISTED', 'NOT_PROCEEDING'), ('INVITED', 'NOT_PROCEEDING'), ('INTERESTED', 'SELECTED'), ('INTERESTED', 'NOT_PROCEEDING')) else (before, after) in (('INVITED', 'INTERESTED'), ('INVITED', 'DECLINED')) end as legal from (select *, case when event_type in ('click', 'view') then 'STUDENT' else 'STAFF' end as actor from w where before is not null) group by all",
     "stm03_requirement_steps": f"{_told("(['DRAFT', 'OPEN', 'CLOSED'])", 3)} select (before, after) in (('DRAFT', 'OPEN'), ('DRAFT', 'CLOSED'), ('OPEN', 'CLOSED'), ('CLOSED', 'OPEN')) as legal, count(*) as n from w where before is not null group by 1",
     "gov01_anonymised": "select c_custkey, case when c_acctbal < 0 then 'erased-' || sha256(c_custkey::varchar)[1:12] || '@erased.invalid' else c_name end as name, case when not c_acctbal < 0 then c_acctbal end as balance from customer",
-    "gov03_orphans": "select p_partkey from part where p_size > 5 and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 30)",
+    "gov03_orphans": "select p_partkey from part where p_size > 5 and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 48 and l_returnflag = 'R')",
     "gov04_import_validation": """with m as (select *, role || case when turn % 5 <> 4 then '@' || conv_id || '.example' else '' end as mail from conversations), p as (select *, row_number() over (partition by mail order by conv_id, turn, text) as place from m)
       select case when not coalesce(regexp_matches(text, '[^[:space:]]'), false) then 'no name' when not contains(mail, '@') then 'no address' when role = 'system' then 'unknown section' when place > 1 then 'repeated' when mail in (select 'user@' || item_id || '.example' from benchmark) then 'exists' else 'fine' end as why, count(*) as n from p group by 1""",
     "dml01_backfill": "select coalesce(case when o_orderstatus = 'F' then 'KEPT' end, (select c_mktsegment from customer where c_custkey = o_custkey)) as segment, count(*) as n from orders group by 1",

@@ -145,7 +145,9 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
 
 def overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Hosts that claim a name at or above another's, by equal suffixes."""
-    hosts = read(spark, sf, "pages").select(U.host(F.col("url")).alias("host")).distinct()
+    every = read(spark, sf, "pages").select(U.host(F.col("url")).alias("host"))
+    # The sites of the networks' blogs claim the whole name.
+    hosts = every.unionAll(every.where("host like 'blog.%.net'").select(F.substring("host", 6, 300))).distinct()
     above = hosts.select("host", F.explode(U.host_suffixes(F.col("host"))).alias("claim")).where("claim <> host")
     return above.join(hosts.withColumnRenamed("host", "claim"), "claim", "left_semi").select("host", "claim")
 
@@ -215,5 +217,5 @@ ORACLE_SQL = {
       select id, rank, known_id from (select *, row_number() over (partition by id order by rank, known_id) as n from h) where n = 1""",
     "join14_alias": "select p_partkey, case lower(p_type) when 'economy' then 'budget' when 'promo' then 'offer' when 'standard' then 'standard' end as resolved from part",
     "join15_dictionary": "select p_partkey, string_agg(t, ',' order by t) as terms from (select distinct p_partkey, unnest(string_split(p_name, ' ')) as t from part) where t in ('red', 'blue', 'ring', 'bolt') group by 1",
-    "join18_overlap": "with h as (select distinct regexp_extract(url, '://([^/]*)', 1) as host from pages) select a.host, b.host as claim from h a join h b on ends_with(a.host, '.' || b.host)",
+    "join18_overlap": "with e as (select regexp_extract(url, '://([^/]*)', 1) as host from pages), h as (select host from e union select substr(host, 6) from e where host like 'blog.%.net') select a.host, b.host as claim from h a join h b on ends_with(a.host, '.' || b.host)",
 }

@@ -3,7 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def contracted(rows: DataFrame, contract: str) -> DataFrame:
+    """`rows` as a contract has them: its columns in its order and of its types. Columns that it doesn't have go; a value
+    that isn't of the type is null; a column that isn't there is an error, as no rows could be right."""
+    fields = T.StructType.fromDDL(contract).fields
+    missing = [f.name for f in fields if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"columns that aren't there: {', '.join(missing)}")
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def breaches(rows: DataFrame, contract: str) -> DataFrame:
+    """column, problem and n of what breaks a contract (DDL, `not null` where a value is demanded).
+
+    MISSING and EXTRA columns have no number; of others TYPE counts the values that aren't of the type, and NULL those that
+    are demanded and aren't there, or aren't of the type. All are counted in one pass over the table."""
+    fields = T.StructType.fromDDL(contract).fields
+    wanted = {f.name for f in fields}
+    there = [f for f in fields if f.name in rows.columns]
+    told = [(f.name, "MISSING") for f in fields if f.name not in rows.columns] + [(c, "EXTRA") for c in rows.columns if c not in wanted]
+    counts = []
+    for f in there:
+        value, cast = F.col(f"`{f.name}`"), F.col(f"`{f.name}`").try_cast(f.dataType)
+        counts += [(f.name, "TYPE", F.count_if(value.isNotNull() & cast.isNull())), (f.name, "NULL", F.count_if(cast.isNull()) if not f.nullable else F.lit(0).cast("long"))]
+    spark = rows.sparkSession
+    fixed = spark.createDataFrame([(c, p, None) for c, p in told], "column string, problem string, n long")
+    if not counts:
+        return fixed
+    cells = rows.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("problem"), n.alias("n")) for c, p, n in counts]).alias("x"))
+    return fixed.unionAll(cells.select(F.explode("x").alias("x")).select("x.*").where("n > 0"))
+
+
+def bounded(body: str, most: int) -> tuple:
+    """Columns of the first `most` bytes of a binary column as text, and whether there were more.
+
+    A character that the bound cuts through is replaced, as are bytes that are no text."""
+    held = F.col(body)
+    return F.make_valid_utf8(F.substring(held, 1, most).cast("string")), F.coalesce(F.length(held) > most, F.lit(False))
