@@ -62,10 +62,24 @@ _SIBLINGS = {
 }
 _CELLS = ("td", "th", "caption")
 _TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
-_CHROME_NAME = re.compile(
-    r"(?:^|[_\-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side-bar|widgets?|ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notice|notices|newsletter|subscribe|subscription|signup|sign-up|login|social|share|sharing|related|recommended|recommendations|comments?|comment-list|commentlist|disqus|respond|replies|popup|modal|search|searchbox|pagination|pager|toolbar|complementary|contentinfo|skip-link)(?:$|[_\-])",
-    re.I,
+#: Words of classes, ids and roles of what is around an article, and words that say where or how such a thing is.
+_CHROME_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar widget widgets ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond replies popup modal search searchbox pagination pager toolbar complementary contentinfo skiplink".split()
 )
+_BESIDE_WORDS = frozenset(
+    "left right top bottom main site page global primary secondary container wrapper wrap box list item items block section area link links bar inner outer header head body content icon icons button buttons btn form field input post posts entry article articles blog text unit slot zone group row col column panel module holder large small mobile desktop wide sticky fixed first last".split()
+)
+
+
+def _is_chrome(name: str) -> bool:
+    """Whether a name says that it is of the page, not of its subject: all its words do, or say where that is. So
+    `social-share` and `main-nav` are, `share-price`, `related-work` and `comments-about-law` aren't."""
+    words = [w for w in re.split(r"[_\-]+", name.lower()) if w]
+    if "".join(words) in _CHROME_WORDS:
+        return True
+    return any(w in _CHROME_WORDS for w in words) and all(w in _CHROME_WORDS or w in _BESIDE_WORDS or w.isdigit() for w in words)
+
+
 _HEAD_NAME = re.compile(r"(?:^|[_\-])(?:header|masthead|site-header|topbar)(?:$|[_\-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[_\-])(?:article|article-body|articlebody|post-content|entry-content|main-content)(?:$|[_\-])", re.I)
 #: Names of layouts, such as has-sidebar, which say what is elsewhere on the page.
@@ -87,7 +101,7 @@ def _kind(tag: str, attributes: str, inside: int, drawing: bool) -> int:
     names = [x for k in ("class", "id", "role", "aria-label") if k in given for x in given[k].split() if not _LAYOUT.search(x)]
     if tag in ("html", "body"):
         names = []
-    if any(m and (tag != "article" or m[0] == x) for x in names if (m := _CHROME_NAME.search(x))):
+    if any(x.lower() in _CHROME_WORDS if tag == "article" else _is_chrome(x) for x in names):
         return NAMED
     if inside != KEEP and tag == "header":
         return DROP

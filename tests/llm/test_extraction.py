@@ -140,3 +140,11 @@ def test_repeated_tokens_go_and_the_rest_of_a_block_stays(spark):
     found = texts(spark, rows)
     assert all(found[i] == f"{story(i + 50)}\n{story(i)}\nas a matter of fact {i}" for i in range(5))
     assert all(found[10 + i] == story(i) for i in range(2))
+
+
+def test_names_of_subjects_are_no_names_of_chrome():
+    kept = ['<p id="comments-about-law">', '<p class="share-price">', '<p class="social-policy">', '<section class="related-work">', '<div class="ad-astra">', '<div class="search-theory x">', '<p id=notice-of-change>', '<div class="banner_of_heaven">']
+    gone = ['<div class="ad">', '<div class="x social-share">', '<div id="main-nav">', '<div class="footer_links">', '<div class="sign-up">', '<div role=navigation>', '<div class="AD-SLOT-3">', '<ul class="comment-list">', '<section id="related-posts">', '<div class="cookie-banner">']
+    for tag in kept + gone:
+        found = [text for kind, text in extraction.blocks(f"<article><h1>a</h1>{tag}some text of it") if kind != extraction.DROP]
+        assert found == (["a", "some text of it"] if tag in kept else ["a"]), tag
