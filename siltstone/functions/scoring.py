@@ -23,12 +23,6 @@ def experience_score(years: Column, least: Column, most: Column) -> Column:
     return F.when(known, round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score.cast("double")))))
 
 
-def seniority_score(have: Column, ask: Column) -> Column:
-    """By the distance of two ranks on a ladder."""
-    apart = F.abs(have - ask)
-    return F.when(apart.isNull(), None).when(apart == 0, 100).when(apart == 1, 80).when(apart == 2, 55).otherwise(25)
-
-
 def skill_score(held: Column, tiers: dict[str, Column]) -> Column:
     """The share of each tier that is held, weighted over the tiers that ask for anything."""
     parts = [(F.lit(TIERS[t]), asked) for t, asked in tiers.items()]

@@ -79,3 +79,19 @@ def pages_of(rows: DataFrame, size: int, cap: int = 100) -> DataFrame:
 def top_per_key(rows: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
     """The first `n` rows of each key; Spark cuts each task's rows before it shuffles them."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("place") <= n)
+
+
+def placed(rows: DataFrame, key: str, rank: str, score: str, tie: str, step: float) -> DataFrame:
+    """`rows` with place, from 1 within each `key`: by rank, then by falling score, unknown ones last, then by `tie`.
+
+    Rows are ordered within steps of the score only, and what is in the steps before is counted, so that not all rows of a
+    large key are sorted in one task. `step` is to leave few enough rows in each. Null keys and ranks are values like others."""
+    band = F.coalesce(F.floor(F.col(score) / step), F.lit(-(2**62)))
+    held = rows.withColumn("__band", band)
+    counts = held.groupBy(key, rank, "__band").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy(rank, F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = Window.partitionBy(key, rank, "__band").orderBy(F.desc_nulls_last(score), tie)
+    counts = counts.select(F.col(key).alias("__key"), F.col(rank).alias("__rank"), F.col("__band").alias("__of"), "__before")
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(rank).eqNullSafe(F.col("__rank")) & (F.col("__band") == F.col("__of"))
+    return held.withColumn("__at", F.row_number().over(within)).join(counts, same).withColumn("place", F.col("__before") + F.col("__at")).drop("__band", "__at", "__before", "__key", "__rank", "__of")

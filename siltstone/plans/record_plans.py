@@ -20,7 +20,7 @@ def _at(text: str) -> Column:
 
 
 def status_set(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders that are open or half done, and all of them for customers who asked for closed ones too."""
+    """Orders that are open or half done, and of the urgent ones all."""
     orders = read(spark, sf, "orders")
     return orders.where(F.col("o_orderstatus").isin("O", "P") | (F.col("o_orderpriority") == "1-URGENT")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
@@ -150,8 +150,8 @@ def ranked_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     score = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
     rank = F.when(F.col("c_mktsegment") == "BUILDING", 0).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(2)
     rows = read(spark, sf, "customer").withColumns({"score": score, "rank": rank})
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("rank", F.desc_nulls_last("score"), "c_custkey"))
-    return rows.select("c_custkey", "c_nationkey", place.cast("long").alias("place"))
+    placed = S.placed(rows, "c_nationkey", "rank", "score", "c_custkey", 50.0)
+    return placed.select("c_custkey", "c_nationkey", "place")
 
 
 def scope_intersection(spark: SparkSession, sf: str) -> DataFrame:
@@ -369,7 +369,9 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
 def import_validation(spark: SparkSession, sf: str) -> DataFrame:
     """The first problem of each row of an import: name, address, section, repeated in the file, unknown department, known already."""
     rows = read(spark, sf, "conversations").withColumn("mail", F.concat_ws("@", "role", F.when(F.col("turn") % 5 != 4, F.concat("conv_id", F.lit(".example")))))
-    place = F.row_number().over(Window.partitionBy("mail").orderBy("conv_id", "turn", "text"))
+    # Rows without an address have another problem before that of being repeated, so they needn't meet.
+    apart = F.when(~F.col("mail").contains("@"), F.xxhash64("conv_id", "turn", "text"))
+    place = F.row_number().over(Window.partitionBy("mail", apart).orderBy("conv_id", "turn", "text"))
     known = read(spark, sf, "benchmark").select(F.concat(F.lit("user@"), "item_id", F.lit(".example")).alias("mail"), F.lit(True).alias("known")).distinct()
     rows = rows.withColumn("place", place).join(known, "mail", "left")
     why = R.problem((~T.has_text(F.col("text")), "no name"), (~F.col("mail").contains("@"), "no address"), (F.col("role") == "system", "unknown section"), (F.col("place") > 1, "repeated"), (F.coalesce("known", F.lit(False)), "exists"))
@@ -405,9 +407,9 @@ def guarded_insert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def finders(spark: SparkSession, sf: str) -> DataFrame:
-    """By equality and IN in an order; how many; whether any; and by part of a name in any case."""
+    """By equality and IN; how many; whether any; and by part of a name in any case."""
     part = read(spark, sf, "part")
-    some = part.where((F.col("p_type") == "PROMO") & F.col("p_size").isin(1, 2, 3)).orderBy("p_size", F.desc("p_partkey")).select(F.lit("some").alias("finder"), F.col("p_partkey").cast("string").alias("found"))
+    some = part.where((F.col("p_type") == "PROMO") & F.col("p_size").isin(1, 2, 3)).select(F.lit("some").alias("finder"), F.col("p_partkey").cast("string").alias("found"))
     count = part.where(F.col("p_size") == 10).agg(F.lit("count").alias("finder"), F.count("*").cast("string").alias("found"))
     exists = part.agg(F.lit("exists").alias("finder"), F.bool_or(F.col("p_size") > 49).cast("string").alias("found"))
     named = part.where(S.any_contains(["p_name"], "BoLt")).agg(F.lit("named").alias("finder"), F.count("*").cast("string").alias("found"))

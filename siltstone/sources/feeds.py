@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.numbers import lenient_instant
-from siltstone.functions.text import SPACE, has_text
+from siltstone.functions.postings import strip
+from siltstone.functions.text import has_text
 
 FIELDS = [
     "external_id", "requisition_id", "title", "company_name", "location_text", "description_html", "employment_type_text", "work_mode_text",
@@ -23,15 +24,10 @@ FIELDS = [
 INSTANTS = ("posted_at", "updated_at")
 
 
-def stripped(text: Column) -> Column:
-    """`text` without white space around it; null if nothing else is there."""
-    return F.when(has_text(text), F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
-
-
 def text_at(item: Column, path: str) -> Column:
     """The scalar at a JSON path as text; null for null, blank, objects and arrays."""
     value = F.try_variant_get(item, path, "variant")
-    return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), stripped(F.try_variant_get(item, path, "string")))
+    return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), strip(F.try_variant_get(item, path, "string")))
 
 
 def flag_at(item: Column, path: str) -> Column:

@@ -322,7 +322,7 @@ def crawled(listings: DataFrame, pages: DataFrame, as_of: Column, budget: int =
     in order, at most `most`. Columns: source, page_url, own, rank and the fields of raw postings."""
     opened = pages.where("allowed").withColumn("__n", F.row_number().over(Window.partitionBy("source").orderBy("place", "url"))).where(F.col("__n") <= budget)
     gone = opened.where(F.col("status").isin(404, 410)).select("source", F.col("url").alias("apply_url")).distinct()
-    read = opened.where("status between 200 and 299").select(F.struct("source", "url").alias("page"), "source", F.col("url").alias("page_url"), F.col("place").alias("page_place"), "html")
+    read = opened.where("status between 200 and 299").select(F.struct("source", "place", "url").alias("page"), "source", F.col("url").alias("page_url"), F.col("place").alias("page_place"), "html")
     mine = posting_nodes(read, "page")
     mine = mine.withColumn("__alone", F.count("*").over(Window.partitionBy("page")) == 1)
     silent = external_id(F.col("node")).isNull()
