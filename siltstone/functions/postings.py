@@ -183,8 +183,10 @@ def with_fields(rows: DataFrame, title: Column, place: Column, html: Column, sta
     What several fields are made of is found once, before them: an array of it is exploded, which neither filters nor
     projections are moved below, where they would bring copies of it along."""
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in FIELDS]
-    given = F.struct(strip(title).alias("name"), strip_html(html).alias("text"), location(place).alias("where"), stated_mode.alias("mode"), stated_type.alias("type"), stated_pay.alias("pay"))
-    held = rows.select(*kept, F.explode(F.array(given)).alias("__g"))
+    told = F.struct(title.alias("title"), place.alias("place"), html.alias("html"), stated_mode.alias("mode"), stated_type.alias("type"), stated_pay.alias("pay"))
+    held = rows.select(*kept, F.explode(F.array(told)).alias("__i"))
+    given = F.struct(strip(F.col("__i.title")).alias("name"), strip_html(F.col("__i.html")).alias("text"), location(F.col("__i.place")).alias("where"), F.col("__i.mode"), F.col("__i.type"), F.col("__i.pay"))
+    held = held.select(*kept, F.explode(F.array(given)).alias("__g"))
     name, text, where = F.col("__g.name"), F.col("__g.text"), F.col("__g.where")
     told = F.struct(haystack(name, where["raw"], text).alias("all"), experience(text).alias("years"), salary(F.coalesce(F.col("__g.pay"), text)).alias("pay"))
     held = held.select(*kept, "__g", F.explode(F.array(told)).alias("__t"))
