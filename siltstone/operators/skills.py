@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.postings import strip
 from siltstone.functions.text import canonicalize, has_text, once
+from siltstone.sources.tables import dealt, settled
 
 #: How firmly a skill is asked for, strongest first.
 TIERS = ["REQUIRED", "PREFERRED", "OPTIONAL"]
@@ -151,12 +152,19 @@ def tagged(postings: DataFrame, terms: DataFrame, key: str = "id", text: str = "
     it tell, and those that welcome it count before those that require it. Of several mentions the strongest counts, of
     equally strong ones the first. A skill that is named in headings alone, or across lines, is optional. `key` names a
     text; a null or blank text mentions nothing; terms without letters, digits, `+`, `#` or `.` are none."""
-    rows = postings.where(has_text(F.col(text))).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    whole = canonicalize(F.col("text"))
-    unsure = F.array_compact(F.array(*[F.when(~whole.rlike(pattern), slug) for slug, pattern in AMBIGUOUS.items()]))
+    rows = dealt(postings.where(has_text(F.col(text))).select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
     none = F.lit(None).cast("string")
-    entire = rows.select("key", F.lit(-1).alias("n"), none.alias("heading"), none.alias("tier"), whole.alias("body"), unsure.alias("unsure"))
-    cut = rows.select("key", F.posexplode(blocks(F.col("text"))).alias("n", "b")).select("key", "n", "b.heading", "b.tier", "b.body", F.array().cast("array<string>").alias("unsure"))
+
+    def whole(body: Column) -> Column:
+        unsure = F.array_compact(F.array(*[F.when(~body.rlike(pattern), slug) for slug, pattern in AMBIGUOUS.items()]))
+        return F.struct(F.lit(-1).alias("n"), none.alias("heading"), none.alias("tier"), body.alias("body"), unsure.alias("unsure"))
+
+    def each(cut: Column) -> Column:
+        return F.transform(cut, lambda b, i: F.struct(i.alias("n"), b["heading"], b["tier"], b["body"], F.array().cast("array<string>").alias("unsure")))
+
+    # Found once, as one array that is exploded: a filter on its size would find blocks again. It is never empty.
+    pieces = F.concat(F.array(once(canonicalize(F.col("text")), whole)), each(blocks(F.col("text"))))
+    pieces = settled(rows.select("key", pieces.alias("pieces"))).select("key", F.explode("pieces").alias("b")).select("key", "b.*")
     given = terms.select(canonicalize(F.col("name")).alias("needle"), "name", "slug").where("needle <> ''").distinct()
     parts = max(1, -(-given.count() // part))
     key_type = rows.schema["key"]
@@ -169,11 +177,15 @@ def tagged(postings: DataFrame, terms: DataFrame, key: str = "id", text: str = "
         def find(batches: Iterator[pa.RecordBatch], finder_terms: list = finder_terms) -> Iterator[pa.RecordBatch]:
             return _found(batches, Finder(finder_terms))
 
-        made = entire.unionAll(cut).mapInArrow(find, schema)
+        made = pieces.mapInArrow(find, schema)
         found = made if found is None else found.unionAll(made)
-    required, preferred, context = (F.regexp_substr("words", F.lit(f"(?i){_any(p)}")) for p in (REQUIRED_PHRASES, PREFERRED_PHRASES, CONTEXT_PHRASES))
-    said = found.withColumns({"r": required, "p": preferred, "c": context})
+    # Words are read where no heading tells, and for what is weaker only where nothing stronger is said.
     by_heading = F.col("tier").isNotNull()
+    open_words = F.when(~by_heading & (F.col("n") >= 0), F.col("words"))
+    said = found
+    for name, phrases, before in (("p", PREFERRED_PHRASES, None), ("r", REQUIRED_PHRASES, ["p"]), ("c", CONTEXT_PHRASES, ["p", "r"])):
+        silent = F.coalesce(*before).isNull() if before else F.lit(True)
+        said = said.withColumn(name, F.when(silent, F.regexp_substr(open_words, F.lit(f"(?i){_any(phrases)}"))))
     told = F.struct(
         F.when(F.col("n") < 0, 3).when(by_heading, F.when(F.col("tier") == "REQUIRED", 0).otherwise(1)).when(F.col("p").isNotNull(), 1).when(F.col("r").isNotNull(), 0).otherwise(2).alias("rank"), "n", "at",
         F.when(F.col("n") < 0, "NOT_MENTIONED").when(by_heading, F.concat(F.lit("HEADING_"), "tier")).when(F.col("p").isNotNull(), "PHRASE_PREFERRED").when(F.col("r").isNotNull(), "PHRASE_REQUIRED").when(F.col("c").isNotNull(), "CONTEXTUAL").otherwise("NO_CUE").alias("cue"),
