@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import postings as P
 from siltstone.sources import feeds
-from siltstone.sources.tables import read
+from siltstone.sources.tables import dealt, read
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _chosen(choices: list[str | None], number: Column) -> Column:
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
     k, n = F.col("k"), F.col("n")
-    rows = P.with_fields(_lines(spark, sf), _chosen(TITLES, k + n), _chosen(PLACES, k * 3 + n), _chosen(TEXTS, k + 2 * n), _chosen(STATED, k + 3 * n), _chosen(TYPES, 2 * k + n), F.lit(None).cast("string"))
+    rows = P.with_fields(dealt(_lines(spark, sf).select("k", "n", "p_name"), "k", "n"), _chosen(TITLES, k + n), _chosen(PLACES, k * 3 + n), _chosen(TEXTS, k + 2 * n), _chosen(STATED, k + 3 * n), _chosen(TYPES, 2 * k + n), F.lit(None).cast("string"))
     return rows.select("k", "n", *P.FIELDS)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import resumes as R
-from siltstone.sources.tables import read
+from siltstone.sources.tables import dealt, read
 
 #: Headings that every fifth line of a document becomes, by turns; the last two are none.
 HEADS = ["Summary", "WORK EXPERIENCE:", "-- Education --", "Technical Skills", "Experience", "about us", "Experience."]
@@ -74,11 +74,11 @@ def _people(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return _people(spark, sf).select("custkey", R.fields(F.col("text"), F.lit(AS_OF).cast("date")).alias("f")).select("custkey", "f.*")
+    return dealt(_people(spark, sf), "custkey").select("custkey", R.fields(F.col("text"), F.lit(AS_OF).cast("date")).alias("f")).select("custkey", "f.*")
 
 
 def redacted_resumes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _people(spark, sf)
+    rows = dealt(_people(spark, sf), "custkey")
     return rows.select("custkey", R.redacted(F.col("text"), F.col("who"), F.col("mail"), F.col("number")).alias("text"))
 
 
