@@ -146,14 +146,14 @@ def _chosen(choices: list[str | None], number: Column) -> Column:
     return F.replace(F.replace(text, F.lit("{name}"), F.col("p_name")), F.lit("{n}"), (F.col("n") + 1).cast("string"))
 
 
-def normalized(spark: SparkSession, sf: str) -> DataFrame:
+def normalized(spark: SparkSession, sf: str, wanted: list[str] = P.FIELDS) -> DataFrame:
     k, n = F.col("k"), F.col("n")
-    rows = P.with_fields(dealt(_lines(spark, sf).select("k", "n", "p_name"), "k", "n"), _chosen(TITLES, k + n), _chosen(PLACES, k * 3 + n), _chosen(TEXTS, k + 2 * n), _chosen(STATED, k + 3 * n), _chosen(TYPES, 2 * k + n), F.lit(None).cast("string"))
-    return rows.select("k", "n", *P.FIELDS)
+    rows = P.with_fields(dealt(_lines(spark, sf).select("k", "n", "p_name"), "k", "n"), _chosen(TITLES, k + n), _chosen(PLACES, k * 3 + n), _chosen(TEXTS, k + 2 * n), _chosen(STATED, k + 3 * n), _chosen(TYPES, 2 * k + n), F.lit(None).cast("string"), wanted)
+    return rows.select("k", "n", *wanted)
 
 
 def _some(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: normalized(spark, sf).select("k", "n", *columns)
+    return lambda spark, sf: normalized(spark, sf, list(columns))
 
 
 FIELD_QUERIES = {
