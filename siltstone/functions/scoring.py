@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions.numbers import round_half_up
-from siltstone.functions.text import has_text, token_similarity
+from siltstone.functions.text import has_text, once, overlap, tokens
 
 #: The weight of each dimension and of each tier of skills.
 WEIGHTS = {"skills": 40, "role": 20, "experience": 15, "location": 10, "seniority": 10, "work_mode": 5}
@@ -59,7 +59,7 @@ PRIORITIES = {"IMMEDIATE": 95, "DIGEST": 85, "IN_APP": 75}
 
 def role_score(targets: Column, title: Column) -> Column:
     """The best similarity of a target to the title, raised by 1.6 and capped; null without targets or title."""
-    best = F.array_max(F.transform(targets, lambda t: token_similarity(t, title)))
+    best = once(tokens(title), lambda said: F.array_max(F.transform(targets, lambda t: F.when(has_text(t), overlap(tokens(t), said)).otherwise(F.lit(0.0)))))
     return F.when((F.size(targets) > 0) & has_text(title), round_half_up(F.least(F.lit(1.0), best * 1.6) * 100))
 
 
