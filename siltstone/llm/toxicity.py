@@ -113,19 +113,21 @@ def features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     return np.column_stack([per[k].astype(np.float64) for k in FEATURES])
 
 
-def _featured(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, texts in slices(batch.column("text")):
-            rows = batch.slice(begin, len(texts)).drop_columns(["text"])
+        given = batch.column("text")
+        for begin, texts in slices(pc.fill_null(given, pa.scalar("", given.type))):
+            rows = batch.slice(begin, len(texts))
+            rows = rows if with_text else rows.drop_columns(["text"])
             found = features(texts, lexicon)
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(found[:, i]) for i in range(len(FEATURES)))], [*rows.schema.names, *FEATURES])
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """The columns of `docs` without `text`, and FEATURES; a null text counts as empty."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+def with_features(docs: DataFrame, lexicon: dict[str, float], with_text: bool = False) -> DataFrame:
+    """The columns of `docs`, without `text` unless it is asked for, and FEATURES; a null text counts as empty."""
+    rest = [f for f in docs.schema.fields if with_text or f.name != "text"]
     schema = T.StructType([*rest, *(T.StructField(k, T.DoubleType()) for k in FEATURES)])
-    return docs.select(*[f.name for f in rest], text_or_empty().alias("text")).mapInArrow(partial(_featured, lexicon=lexicon), schema)
+    return docs.mapInArrow(partial(_featured, lexicon=lexicon, with_text=with_text), schema)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +168,17 @@ class Model:
     calibration: object = None
     constant: float = 0.0
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """The columns of `docs` without `text`, and `score` from 0 to 1 in place of a column of that name.
+    def score(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """The columns of `docs`, without `text` unless it is asked for, and `score` from 0 to 1 in place of a column of that name.
 
         A null text counts as empty. Rows that repeat are all scored, alike; an empty table gives no rows."""
-        kept = [c for c in docs.columns if c not in ("text", "score")]
+        kept, text = [c for c in docs.columns if c not in ("text", "score")], ["text"] * with_text
         if self.trees is None:
-            return docs.select(*kept, F.lit(float(self.constant)).alias("score"))
+            return docs.select(*kept, *text, F.lit(float(self.constant)).alias("score"))
         held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "text")  # names of their columns can't clash
         raw = vector_to_array("rawPrediction")[1].alias("margin")
-        done = self.calibration.transform(self.trees.transform(with_features(held, self.lexicon)).select("__row", raw))
-        return done.select(*[F.col("__row")[c].alias(c) for c in kept], F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
+        done = self.calibration.transform(self.trees.transform(with_features(held, self.lexicon, with_text)).select("__row", *text, raw))
+        return done.select(*[F.col("__row")[c].alias(c) for c in kept], *text, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
@@ -217,8 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
 
 
 def keep(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with its columns, whose score is below `limit`."""
-    return model.score(docs.select(F.struct("*").alias("row"), "text")).where(F.col("score") < limit).select("row.*")
+    """The rows of `docs`, with its columns, whose score is below `limit`. Texts go to Python and back once, beside the row of the others."""
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.lit(True).alias("here"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    scored = model.score(docs.select(row.alias("row"), "text"), with_text=True).where(F.col("score") < limit)
+    return scored.select(*[F.col("text") if c == "text" else F.col("row")[f"c{rest.index(c)}"].alias(c) for c in docs.columns])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

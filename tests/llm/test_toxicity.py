@@ -49,6 +49,19 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert toxicity.keep(odd.limit(0), model).count() == 0
 
 
+def test_rows_that_are_kept_send_their_text_once(spark, monkeypatch):
+    """pipeline: a row's text went to Python twice, within the row and beside it."""
+    docs = spark.createDataFrame([(i, "you rotten vile scum" if i % 2 else "a calm and pleasant day", "s", 1, "f") for i in range(400)], SCHEMA)
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), doc_mod("doc_id", 5) != 0)
+    sent, given = [], toxicity.with_features
+    monkeypatch.setattr(toxicity, "with_features", lambda rows, *more: (sent.append(rows.schema.simpleString()), given(rows, *more))[1])
+    odd = docs.where("doc_id < 4").unionByName(spark.createDataFrame([(5, None, None, None, None)], SCHEMA))
+    stayed = toxicity.keep(odd.select("hits", "text", "doc_id", "score", "features"), model)
+    assert [s.count("text:string") for s in sent] == [1]
+    assert stayed.columns == ["hits", "text", "doc_id", "score", "features"]
+    assert sorted(map(tuple, stayed.collect()), key=lambda r: r[2]) == [(1, "a calm and pleasant day", i, "s", "f") for i in (0, 2)] + [(None, None, 5, None, None)]
+
+
 def test_labels_of_one_class_or_none_give_a_constant(spark):
     docs = spark.createDataFrame([(i, f"text {i}", None, None, None) for i in range(50)], SCHEMA)
     for labels in (docs.selectExpr("doc_id", "0 as toxic"), docs.selectExpr("doc_id", "cast(null as int) as toxic")):
