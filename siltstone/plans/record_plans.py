@@ -203,7 +203,7 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_texts(spark: SparkSession, sf: str) -> DataFrame:
-    fields = posting_plans.normalized(spark, sf)
+    fields = posting_plans.normalized(spark, sf, ["title", "normalized_title", "description", "location_raw", "work_mode", "employment_type"])
     return fields.select("k", "n", T.canonicalize(F.concat_ws(" ", "title", "normalized_title", "location_raw", "work_mode", "employment_type", F.substring("description", 1, 4000))).alias("search_text"))
 
 
