@@ -1,22 +1,24 @@
 """Skills that postings mention, and how firmly they ask for each.
 
-A text is cut into blocks below its headings, and blocks into items, in Spark. All terms of a dictionary are then sought
-in one pass over each block, by an automaton in tasks, which hands on each mention with the words around it in its
-item; what those words and the heading say is read in Spark, and of a skill's mentions the strongest counts.
+Texts go to Python as Arrow batches, one row each, and come back as one row for each skill: a text is cut into blocks
+below its headings and blocks into items, all terms of a dictionary are sought by an automaton, and of a skill's mentions the
+strongest counts. What the words around the mentions say is read once for all that are alike in a batch.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.postings import strip
-from siltstone.functions.text import canonicalize, has_text, once
-from siltstone.sources.tables import dealt, settled
+from siltstone.functions.text import canonicalize, folded, has_text
 
 #: How firmly a skill is asked for, strongest first.
 TIERS = ["REQUIRED", "PREFERRED", "OPTIONAL"]
@@ -62,41 +64,57 @@ def _any(words: list[str]) -> str:
     return rf"\b(?:{'|'.join(words)})\b"
 
 
-def is_heading(line: Column) -> Column:
-    """A short line that ends with a colon, or reads as a title: eight words at most, no list sign, no stop at its end."""
-    titled = line.rlike(r"^\p{L}") & ~line.rlike("[.,;]$") & (F.size(F.split(line, r"\s+")) <= 8)
-    return F.coalesce(F.length(line).between(1, 60) & ~line.rlike(r"^[•·*-]") & (line.endswith(":") | titled), F.lit(False))
-
+#: White space around a line, the ends of lines, and what ASCII characters are in canonical text.
+_SPACE = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_LINES, _GAPS, _SIGNS, _ITEMS = (re.compile(x) for x in ("\r\n|[\n\x0b\f\r\x85\u2028\u2029]", "[ \t\n\x0b\f\r]+", "[•·]+", "[\r\n•·]+"))
+_CANONICAL = {c: chr(c).lower() if chr(c).lower() in _NAME or c == ord(".") else " " for c in range(128)}
+_HEADINGS = [(tier, re.compile(_any(words))) for tier, words in (("PREFERRED", PREFERRED_HEADINGS), ("REQUIRED", REQUIRED_HEADINGS))]
 
-def heading_tier(line: Column) -> Column:
-    return F.when(line.rlike(f"(?i){_any(PREFERRED_HEADINGS)}"), "PREFERRED").when(line.rlike(f"(?i){_any(REQUIRED_HEADINGS)}"), "REQUIRED")
 
+def _canonical(text: str) -> str:
+    """As `canonicalize`."""
+    if not text.isascii():
+        text = folded(text).lower().encode("ascii", "replace").decode()
+    return " ".join(text.translate(_CANONICAL).split())
 
-def blocks(text: Column) -> Column:
-    """An array of heading, tier and body: what is between headings, in canonical items, one to a line.
-
-    A text of headings alone is one block without a heading."""
 
-    def items(body: Column) -> Column:
-        return F.array_join(F.filter(F.transform(F.split(body, "[\r\n•·]+"), lambda x: canonicalize(x)), lambda x: x != ""), "\n")
+def is_heading(line: str) -> bool:
+    """A short line that ends with a colon, or reads as a title: eight words at most, no list sign, no stop at its end."""
+    if not 1 <= len(line) <= 60 or line[0] in "•·*-":
+        return False
+    return line[-1] == ":" or (line[0].isalpha() and line[-1] not in ".,;" and len(_GAPS.split(line)) <= 8)
 
-    def cut(lines: Column) -> Column:
-        heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), strip(x).alias("line"))), lambda x: is_heading(x["line"]))
-        return once(heads, lambda h: F.when(F.size(h) == F.size(lines), whole()).otherwise(between(lines, h)))
 
-    def whole() -> Column:
-        return F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("tier"), items(text).alias("body")))
+@lru_cache(10_000)
+def heading_tier(line: str) -> str | None:
+    low = re.sub("[A-Z]+", lambda m: m[0].lower(), line)
+    if not low.isascii():  # words are of letters, decimal digits and marks upon them, as Spark's expressions have them
+        made = ""
+        for c in low:
+            mark = unicodedata.category(c) == "Mn" and made[-1:].isalnum()
+            made += "ʘ" if mark else c if not c.isalnum() or c.isalpha() or c.isdecimal() else "\x01"
+        low = made
+    return next((tier for tier, words in _HEADINGS if words.search(low)), None)
 
-    def between(lines: Column, heads: Column) -> Column:
-        def block(k: Column) -> Column:
-            line = F.when(k > 0, F.get(heads, k - 1)["line"])
-            first = F.coalesce(F.get(heads, k - 1)["at"] + 1, F.lit(0))
-            last = F.coalesce(F.get(heads, k)["at"], F.size(lines))
-            return F.struct(line.alias("heading"), heading_tier(line).alias("tier"), items(F.array_join(F.slice(lines, first + 1, last - first), "\n")).alias("body"))
 
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(heads)), block), lambda x: x["body"] != "")
+def blocks(text: str) -> tuple[str, list[tuple[str | None, str | None, list[str]]]]:
+    """The canonical text, and heading, tier and canonical items of what is between headings.
 
-    return once(F.split(F.regexp_replace(text, r"(?<![\r\n])[\r\n]+$", ""), r"\R"), cut)
+    A text of headings alone is one block without a heading."""
+    lines = _LINES.split(text.rstrip("\r\n"))
+    items = [[x for x in map(_canonical, _SIGNS.split(line)) if x] for line in lines]
+    plain = [line.strip(_SPACE) for line in lines]
+    heads = [is_heading(line) for line in plain]
+    whole = " ".join([x for each in items for x in each])
+    if all(heads):
+        return whole, [(None, None, [x for x in map(_canonical, _ITEMS.split(text)) if x])]
+    found: list[tuple[str | None, str | None, list[str]]] = [(None, None, [])]
+    for line, head, each in zip(plain, heads, items, strict=True):
+        if head:
+            found.append((line, heading_tier(line), []))
+        else:
+            found[-1][2].extend(each)
+    return whole, found
 
 
 class Finder:
@@ -123,26 +141,57 @@ class Finder:
                 yield at, needle
 
 
-def around(text: str, at: int, size: int, reach: int = AROUND) -> str:
+def around(item: str, at: int, size: int, reach: int = AROUND) -> str:
     """The words around a mention, within its item."""
-    start, end = max(0, at - reach), min(len(text), at + size + reach)
-    before, after = text.rfind("\n", start + 1, at), text.find("\n", at + size, end)
-    return text[before + 1 if before >= 0 else start : after if after >= 0 else end]
+    return item[max(0, at - reach) : at + size + reach]
+
+
+def _first(words: pa.Array, phrases: list[str]) -> pa.Array:
+    """The first phrase that is in each of `words`, or null."""
+    held = pc.if_else(pc.match_substring_regex(words, f"(?i){_any(phrases)}"), words, None)
+    return pc.struct_field(pc.extract_regex(held, f"(?i)(?P<x>{_any(phrases)})"), "x")
+
+
+def _told(words: list[str]) -> list[tuple[int, str, str | None]]:
+    """Rank, cue and evidence of words around mentions; what is weaker is sought only where nothing stronger is said."""
+    out: list[tuple[int, str, str | None]] = [(2, "NO_CUE", None)] * len(words)
+    rest, silent = pa.array(words, pa.string()), list(range(len(words)))
+    for rank, cue, phrases in ((1, "PHRASE_PREFERRED", PREFERRED_PHRASES), (0, "PHRASE_REQUIRED", REQUIRED_PHRASES), (2, "CONTEXTUAL", CONTEXT_PHRASES)):
+        said = _first(rest, phrases)
+        for i, x in zip(silent, said.to_pylist(), strict=True):
+            if x is not None:
+                out[i] = (rank, cue, x)
+        none = pc.is_null(said)
+        rest, silent = rest.filter(none), [i for i, free in zip(silent, none.to_pylist(), strict=True) if free]
+    return out
 
 
 def _found(batches: Iterator[pa.RecordBatch], finder: Finder) -> Iterator[pa.RecordBatch]:
+    """Skill, slug, tier, cue and evidence of each skill of each text."""
+    ambiguous = {slug: re.compile(pattern) for slug, pattern in AMBIGUOUS.items()}
     for batch in batches:
-        rows: list[tuple] = []
-        for row, (n, body, unsure) in enumerate(zip(batch.column("n").to_pylist(), batch.column("body").to_pylist(), batch.column("unsure").to_pylist(), strict=True)):
-            if n < 0:  # the whole text, which decides what is mentioned at all
-                held = {needle for _, needle in finder.mentions(body)}
-                rows += [(row, 0, name, slug, None) for needle in held for name, slug in finder.named[needle] if slug not in unsure]
-            else:
-                rows += [(row, at, name, slug, around(body, at, len(needle))) for at, needle in finder.mentions(body) for name, slug in finder.named[needle]]
-        taken = pa.array([r[0] for r in rows], pa.int64())
-        kept = [batch.column(c).take(taken) for c in ("key", "n", "heading", "tier")]
-        made = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int32()), (2, pa.string()), (3, pa.string()), (4, pa.string()))]
-        yield pa.RecordBatch.from_arrays([*kept, *made], ["key", "n", "heading", "tier", "at", "skill", "slug", "words"])
+        words: dict[str, int] = {}
+        mentioned: list[tuple[int, str, str, dict]] = []
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            whole, parts = blocks(text)
+            held = dict.fromkeys(needle for _, needle in finder.mentions(whole))
+            if not held:
+                continue
+            # Of each term what headings or words say of it, in order; what is said again adds nothing.
+            said: dict[str, dict] = {needle: {} for needle in held}
+            for heading, tier, items in parts:
+                for item in items:
+                    for at, needle in finder.mentions(item):
+                        said[needle].setdefault((tier, heading) if tier else words.setdefault(around(item, at, len(needle)), len(words)))
+            for needle in held:
+                for name, slug in finder.named[needle]:
+                    if slug not in ambiguous or ambiguous[slug].search(whole):
+                        mentioned.append((row, name, slug, said[needle]))
+        told = _told(list(words))
+        best = [min((((0 if x[0] == "REQUIRED" else 1, f"HEADING_{x[0]}", x[1]) if isinstance(x, tuple) else told[x]) for x in said), key=lambda t: t[0], default=(3, "NOT_MENTIONED", None)) for *_, said in mentioned]
+        key = batch.column("key").take(pa.array([m[0] for m in mentioned], pa.int64()))
+        made = [[m[1] for m in mentioned], [m[2] for m in mentioned], [TIERS[min(b[0], 2)] for b in best], [b[1] for b in best], [b[2] for b in best]]
+        yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.string()) for x in made)], ["key", "skill", "slug", "tier", "cue", "evidence"])
 
 
 def tagged(postings: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", part: int = PART) -> DataFrame:
@@ -151,24 +200,11 @@ def tagged(postings: DataFrame, terms: DataFrame, key: str = "id", text: str = "
     `terms` has name and slug. A mention below a heading of what is required or welcome is that; else the words around
     it tell, and those that welcome it count before those that require it. Of several mentions the strongest counts, of
     equally strong ones the first. A skill that is named in headings alone, or across lines, is optional. `key` names a
-    text; a null or blank text mentions nothing; terms without letters, digits, `+`, `#` or `.` are none."""
-    rows = dealt(postings.where(has_text(F.col(text))).select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
-    none = F.lit(None).cast("string")
-
-    def whole(body: Column) -> Column:
-        unsure = F.array_compact(F.array(*[F.when(~body.rlike(pattern), slug) for slug, pattern in AMBIGUOUS.items()]))
-        return F.struct(F.lit(-1).alias("n"), none.alias("heading"), none.alias("tier"), body.alias("body"), unsure.alias("unsure"))
-
-    def each(cut: Column) -> Column:
-        return F.transform(cut, lambda b, i: F.struct(i.alias("n"), b["heading"], b["tier"], b["body"], F.array().cast("array<string>").alias("unsure")))
-
-    # Found once, as one array that is exploded: a filter on its size would find blocks again. It is never empty.
-    pieces = F.concat(F.array(once(canonicalize(F.col("text")), whole)), each(blocks(F.col("text"))))
-    pieces = settled(rows.select("key", pieces.alias("pieces"))).select("key", F.explode("pieces").alias("b")).select("key", "b.*")
+    text, so no two rows have one; a null or blank text mentions nothing; terms without letters, digits, `+`, `#` or `.` are none."""
+    rows = postings.where(has_text(F.col(text))).select(F.col(key).alias("key"), F.col(text).alias("text"))
     given = terms.select(canonicalize(F.col("name")).alias("needle"), "name", "slug").where("needle <> ''").distinct()
     parts = max(1, -(-given.count() // part))
-    key_type = rows.schema["key"]
-    schema = T.StructType([key_type, *T.StructType.fromDDL("n int, heading string, tier string, at int, skill string, slug string, words string")])
+    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("skill string, slug string, tier string, cue string, evidence string")])
     found: DataFrame | None = None
     for k in range(parts):
         held = given.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k) if parts > 1 else given
@@ -177,23 +213,9 @@ def tagged(postings: DataFrame, terms: DataFrame, key: str = "id", text: str = "
         def find(batches: Iterator[pa.RecordBatch], finder_terms: list = finder_terms) -> Iterator[pa.RecordBatch]:
             return _found(batches, Finder(finder_terms))
 
-        made = pieces.mapInArrow(find, schema)
+        made = rows.mapInArrow(find, schema)
         found = made if found is None else found.unionAll(made)
-    # Words are read where no heading tells, and for what is weaker only where nothing stronger is said.
-    by_heading = F.col("tier").isNotNull()
-    open_words = F.when(~by_heading & (F.col("n") >= 0), F.col("words"))
-    said = found
-    for name, phrases, before in (("p", PREFERRED_PHRASES, None), ("r", REQUIRED_PHRASES, ["p"]), ("c", CONTEXT_PHRASES, ["p", "r"])):
-        silent = F.coalesce(*before).isNull() if before else F.lit(True)
-        said = said.withColumn(name, F.when(silent, F.regexp_substr(open_words, F.lit(f"(?i){_any(phrases)}"))))
-    told = F.struct(
-        F.when(F.col("n") < 0, 3).when(by_heading, F.when(F.col("tier") == "REQUIRED", 0).otherwise(1)).when(F.col("p").isNotNull(), 1).when(F.col("r").isNotNull(), 0).otherwise(2).alias("rank"), "n", "at",
-        F.when(F.col("n") < 0, "NOT_MENTIONED").when(by_heading, F.concat(F.lit("HEADING_"), "tier")).when(F.col("p").isNotNull(), "PHRASE_PREFERRED").when(F.col("r").isNotNull(), "PHRASE_REQUIRED").when(F.col("c").isNotNull(), "CONTEXTUAL").otherwise("NO_CUE").alias("cue"),
-        F.when(by_heading, F.col("heading")).otherwise(F.coalesce("p", "r", "c")).alias("evidence"),
-    )
-    best = said.select("key", "skill", "slug", told.alias("told")).groupBy("key", "skill", "slug").agg(F.min("told").alias("told"), F.min("told.n").alias("first")).where("first = -1")
-    tier = F.element_at(F.array(*map(F.lit, TIERS)), F.least(F.col("told.rank"), F.lit(2)) + 1)
-    return best.select(F.col("key").alias(key), "skill", "slug", tier.alias("tier"), "told.cue", "told.evidence")
+    return found.withColumnRenamed("key", key)
 
 
 def applied(tagged: DataFrame, stated: DataFrame | None = None, key: str = "id", cap: int = CAP) -> DataFrame:
